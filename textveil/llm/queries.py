@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from textveil.llm import ann, embdedup, mixing
+from textveil.llm import ann, embdedup, langid, mixing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op6_toxicity": toxicity.query,
         "op7_ann": ann.query,
         "op8_embedding_dedup": embdedup.query,
+        "op9_language_id": langid.query,
         "op10_mixing": mixing.query,
     }
 
