@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textveil.llm import ann, embdedup, langid, mixing, toxicity
+from textveil.llm import ann, embdedup, jaccard, langid, mixing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_jaccard": jaccard.query,
         "op6_toxicity": toxicity.query,
         "op7_ann": ann.query,
         "op8_embedding_dedup": embdedup.query,
