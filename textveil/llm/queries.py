@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textveil.llm import ann, embdedup, jaccard, langid, mixing, sentencepiece, toxicity
+from textveil.llm import ann, embdedup, jaccard, langid, mixing, pii, sentencepiece, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_ngram_jaccard": jaccard.query,
+        "op4_pii": pii.query,
         "op5_sentencepiece": sentencepiece.query,
         "op6_toxicity": toxicity.query,
         "op7_ann": ann.query,
