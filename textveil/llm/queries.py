@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textveil.llm import ann, embdedup, jaccard, langid, mixing, pii, sentencepiece, toxicity
+from textveil.llm import ann, embdedup, jaccard, langid, mixing, pii, sentencepiece, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_ngram_jaccard": jaccard.query,
+        "op3_warc_derivatives": warc.query,
         "op4_pii": pii.query,
         "op5_sentencepiece": sentencepiece.query,
         "op6_toxicity": toxicity.query,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_derivatives": warc.ORACLE,
         "op8_embedding_dedup": embdedup.ORACLE,
         "op10_mixing": mixing.ORACLE,
     }
