@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textveil.llm import ann, embdedup, jaccard, langid, mixing, pii, sentencepiece, toxicity, warc
+from textveil.llm import ann, embdedup, jaccard, langid, mixing, pii, quality, sentencepiece, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.query,
         "op2_ngram_jaccard": jaccard.query,
         "op3_warc_derivatives": warc.query,
         "op4_pii": pii.query,
