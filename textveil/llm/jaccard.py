@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.llm.common import by_sorted_keys, components, small, table, written
@@ -321,5 +321,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(rest)
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each class: the one whose id is the class's. Rows without id stay; of rows that share an id, the
+    one with the smallest text stays if that id does."""
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null"), "jaccard-decided")
+    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    out = docs.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    twice = found.where("class_id = doc_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    if twice.limit(1).count():
+        again = out.join(small(twice), F.col(id_col) == F.col("__twice"), "left_semi")
+        first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        again = again.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+        out = out.join(small(twice), F.col(id_col) == F.col("__twice"), "left_anti").unionByName(again)
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -101,6 +101,30 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, id_col: str = "doc_
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it. Of rows with equal id, source and size, the copies go by order of text."""
+    plan = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    key = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
+    plan = written(plan.select(*key, "copies"), "mix-plan")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")
+    ties = plan.groupBy("__id", "__source", "__size").count().where("count > 1").drop("count")
+    if not ties.limit(1).count():
+        return docs.join(small(plan.where("copies > 0")), same).select(*columns, repeat).drop("__copy")
+    # rows that share a key are numbered on both sides
+    null_safe = F.col("__id").eqNullSafe(F.col("i")) & F.col("__source").eqNullSafe(F.col("s")) & (F.col("__size") == F.col("z"))
+    tied = written(ties.select(F.col("__id").alias("i"), F.col("__source").alias("s"), F.col("__size").alias("z")), "mix-ties")
+    single = docs.join(small(plan.where("copies > 0").join(small(tied), null_safe, "left_anti")), same).select(*columns, repeat).drop("__copy")
+    number = Window.partitionBy("__id", "__source", "__size").orderBy("copies")
+    plan = plan.join(small(tied), null_safe, "left_semi").withColumn("__row", F.row_number().over(number))
+    order = Window.partitionBy("i", "s", "z").orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*columns))
+    rows = docs.join(small(tied), F.col(id_col).eqNullSafe(F.col("i")) & F.col(source_col).eqNullSafe(F.col("s")) & (size == F.col("z"))).withColumn("__n", F.row_number().over(order))
+    rows = rows.join(plan.where("copies > 0"), null_safe & (F.col("__n") == F.col("__row")))
+    return single.unionByName(rows.select(*columns, repeat).drop("__copy"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

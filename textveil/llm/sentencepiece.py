@@ -437,24 +437,25 @@ def codec(data: bytes) -> Codec:
     return held[hash(data)]
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, piece_ids (array of int) and decoded (string): one row per input row.
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+    """Columns `keep`, piece_ids (array of int) and, if asked for, decoded (string): one row per input row.
 
     Null texts have null ids and a null decoded text, empty ones no ids. Long texts are encoded whole.
     """
     src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__piece_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", piece_ids array<int>, decoded string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", piece_ids array<int>" + ", decoded string" * decoded
 
     def run(batches):
         import pyarrow as pa
 
-        for part, ids, texts in encoded(batches, model):
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "piece_ids", "decoded"])
+        for part, ids, texts in encoded(batches, model, decoded):
+            out = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), *([pa.array(texts, pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(out, names=[*part.schema.names[:-1], "piece_ids", *["decoded"] * decoded])
 
     return src.mapInArrow(run, schema)
 
 
-def encoded(batches, model: bytes):
+def encoded(batches, model: bytes, back: bool = True):
     """(slice of a batch, ids, decoded texts) for rows whose last column is the text; some million characters at a time."""
     import numpy as np
     import pyarrow.compute as pc
@@ -467,7 +468,7 @@ def encoded(batches, model: bytes):
             part = batch.slice(lo, hi - lo)
             texts = part.column(part.num_columns - 1).to_pylist()
             ids = c.encode([t or "" for t in texts], cache)
-            yield part, [None if t is None else i for t, i in zip(texts, ids, strict=True)], [None if t is None else c.decode(i) for t, i in zip(texts, ids, strict=True)]
+            yield part, [None if t is None else i for t, i in zip(texts, ids, strict=True)], [None if t is None else c.decode(i) for t, i in zip(texts, ids, strict=True)] if back else None
 
 
 def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

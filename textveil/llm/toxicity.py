@@ -250,9 +250,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     Null and empty texts score as a text without words. Long texts are scored whole.
     """
-    # the text may be one of the kept columns or not; it travels last under a name of its own
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__toxicity_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", toxic_score double, toxic_predicted int"
+    # a kept text travels once; else it goes last under a name of its own
+    own = text_col not in keep
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col).alias("__toxicity_text")] if own else []))
+    at, kept = (len(keep), len(keep)) if own else (keep.index(text_col), len(keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:kept]) + ", toxic_score double, toxic_predicted int"
 
     def run(batches):
         import pyarrow as pa
@@ -260,9 +262,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         restored: dict = {}
         strength: dict = {}
         for batch in batches:
-            out = [model.score(words_of(t or "", model.chars, restored), strength) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array([int(s >= cut) for s in out], pa.int32())],
-                                             names=[*batch.schema.names[:-1], "toxic_score", "toxic_predicted"])
+            out = [model.score(words_of(t or "", model.chars, restored), strength) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(out, pa.float64()), pa.array([int(s >= cut) for s in out], pa.int32())],
+                                             names=[*batch.schema.names[:kept], "toxic_score", "toxic_predicted"])
 
     return src.mapInArrow(run, schema)
 
@@ -273,6 +275,11 @@ def fitted(spark, docs: DataFrame, sf_dir: str) -> Model:
     return fit(docs, labels)
 
 
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows predicted toxic."""
+    return score(docs, model, text_col, tuple(docs.columns)).where("toxic_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fitted(spark, docs, sf_dir))
