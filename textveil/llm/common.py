@@ -83,6 +83,29 @@ def components(edges: DataFrame, prefix: str, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def task(f):
+    """Decorator of a function for mapInArrow: when a task ends, its worker gives memory back instead of holding it while idle."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return run
+
+
 def by_sorted_keys(keys: list[str]):
     """Decorator of f(key, arrow table) -> iterator of record batches: runs it on each run of equal keys.
 
@@ -90,7 +113,7 @@ def by_sorted_keys(keys: list[str]):
     """
 
     def wrap(f):
-        @functools.wraps(f)
+        @task
         def run(batches):
             import numpy as np
             import pyarrow as pa

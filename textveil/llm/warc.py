@@ -11,23 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import table
+from textveil.llm.common import table, task
 
 CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"  # of records built from tables that hold no date
 
 # Markup to text, in this order.
 STEPS = (
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script[^>]*>", " "),
-    (r"(?is)<style[^>]*>.*?</style[^>]*>", " "),
-    (r"(?is)<noscript[^>]*>.*?</noscript[^>]*>", " "),
-    (r"(?is)<template[^>]*>.*?</template[^>]*>", " "),
-    (r"[\x00-\x20]+", " "),
+    (r"(?is)<(?:!--.*?-->|script[^>]*>.*?</script[^>]*>|style[^>]*>.*?</style[^>]*>|noscript[^>]*>.*?</noscript[^>]*>|template[^>]*>.*?</template[^>]*>)", " "),
+    (r"[\x00-\x1F]+", " "),
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:[ /][^>]*)?>", "\n"),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
-TIDY = ((r"[ \xA0]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+TIDY = ((r"\xA0", " "), (r" {2,}", " "), (r" ?\n[ \n]*", "\n"))
 # Named characters; the ampersand comes last.
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
@@ -44,27 +40,32 @@ def _character(code: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Numeric (decimal) and named character references; numbers that are no character stay."""
+    """Numeric (decimal) and named character references; numbers that are no character stay. One pass over what stands after each
+    ampersand, so that what a reference gives isn't read as one."""
+    table_ = F.create_map(*[F.lit(x) for name, char in ENTITIES for x in (name[1:-1], char)])
 
     def part(p, i):
-        code = F.regexp_extract(p, r"^([0-9]{1,7});", 1).try_cast("int")
+        code = F.regexp_extract(p, r"^#([0-9]{1,7});", 1).try_cast("int")
         ok = (i > 0) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(ok, F.concat(_character(code), F.regexp_replace(p, r"^[0-9]+;", ""))).when(i > 0, F.concat(F.lit("&#"), p)).otherwise(p)
+        named = F.try_element_at(table_, F.regexp_extract(p, r"^([a-z]{2,8});", 1))
+        after = F.regexp_replace(p, r"^[#a-z0-9]+;", "")
+        # most references are this one
+        return F.when(i == 0, p).when(p.startswith("amp;"), F.concat(F.lit("&"), F.substring(p, 5, F.length(p)))).when(ok, F.concat(_character(code), after)).when(named.isNotNull(), F.concat(named, after)).otherwise(F.concat(F.lit("&"), p))
 
-    text = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#", -1), part), "")).otherwise(text)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """Text of markup: a line per block, without comments, scripts and styles."""
+def with_plain_text(df: DataFrame, html: str, name: str) -> DataFrame:
+    """df with the text of markup: a line per block, without comments, scripts and styles. In steps, as one step's result is used
+    more than once by the next and shouldn't be computed again."""
+    text = F.col(html)
     for pattern, by in STEPS:
-        html = F.regexp_replace(html, pattern, by)
-    html = unescape(html)
+        text = F.regexp_replace(text, pattern, by)
+    df = df.withColumn(name, text).withColumn(name, unescape(F.col(name)))
+    text = F.col(name)
     for pattern, by in TIDY:
-        html = F.regexp_replace(html, pattern, by)
-    return html
+        text = F.regexp_replace(text, pattern, by)
+    return df.withColumn(name, F.trim(text, F.lit(" \n")))
 
 
 def urn(text: Column) -> Column:
@@ -93,7 +94,9 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Two rows per response: `keep`, warc_type, record_id, refers_to, target_uri, warc_date, content_type, content_length,
     block_digest, source_payload_digest, headers and block. Works on the columns that `responses` gives; an empty table gives no rows."""
-    title = F.regexp_replace(unescape(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[\x00-\x20]+", " ")), r"^ | $", "")
+    records = records.withColumn("__title", F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[\x00-\x20]+", " "))
+    records = with_plain_text(records, "payload", "__text")
+    title = F.trim(unescape(F.col("__title")))
     fields = [("title", title), ("html-lang", F.regexp_extract("payload", LANG, 1)), ("outlinks", F.regexp_count("payload", F.lit(LINK)).cast("string")),
               ("http-status", F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)), ("source-block-digest", F.col("block_digest"))]
     # the source's header lines follow, each marked as such
@@ -104,7 +107,7 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
         return F.struct(F.lit(kind).alias("warc_type"), F.lit(content_type).alias("content_type"), block.alias("block"))
 
     both = records.select(*keep, "record_id", "target_uri", "warc_date", "payload_digest",
-                          F.explode(F.array(row("metadata", "application/warc-fields", about), row("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))).alias("d"))
+                          F.explode(F.array(row("metadata", "application/warc-fields", about), row("conversion", "text/plain; charset=utf-8", F.col("__text")))).alias("d"))
     out = both.select(*keep, F.col("d.warc_type"), urn(F.concat_ws("|", "d.warc_type", "record_id")).alias("id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
                       F.col("d.content_type"), F.octet_length("d.block").cast("long").alias("content_length"), sha256(F.col("d.block")).alias("block_digest"),
                       F.col("payload_digest").alias("source_payload_digest"), F.col("d.block"))
@@ -149,6 +152,7 @@ def read_responses(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "page_id long, record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string, block_digest string"
 
+    @task
     def run(batches):
         import hashlib
 
@@ -198,7 +202,7 @@ def _oracle() -> str:
 
     urn_of = lambda x: f"'<urn:uuid:' || md5({x})[1:8] || '-' || md5({x})[9:12] || '-' || md5({x})[13:16] || '-' || md5({x})[17:20] || '-' || md5({x})[21:32] || '>'"
     nl = "chr(13) || chr(10)"
-    title = f"regexp_replace({unescaped(subs(f'regexp_extract(payload, {lit(TITLE)}, 1)', [(r'[\x00-\x20]+', ' ')]))}, '^ | $', '', 'g')"
+    title = f"trim({unescaped(subs(f'regexp_extract(payload, {lit(TITLE)}, 1)', [(r'[\x00-\x20]+', ' ')]))}, ' ')"
     return f"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
@@ -206,7 +210,7 @@ WITH p AS (
   SELECT *, {urn_of("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri")} AS refers_to, 'sha256:' || sha256(payload) AS source_payload_digest,
     'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: ' || strlen(payload) || {nl} AS http FROM p
 ), t AS (
-  SELECT *, {title} AS title, {subs(unescaped(subs("payload", STEPS)), TIDY)} AS txt,
+  SELECT *, {title} AS title, trim({subs(unescaped(subs("payload", STEPS)), TIDY)}, ' ' || chr(10)) AS txt,
     'sha256:' || sha256('HTTP/1.1 200 OK' || {nl} || http || {nl} || payload) AS response_digest FROM r
 ), d AS (
   SELECT page_id, 'metadata' AS warc_type, refers_to, target_uri, 'application/warc-fields' AS content_type, source_payload_digest,
