@@ -19,7 +19,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.llm.common import bounded_sample, table, written
+from textveil.llm.common import bounded_sample, table, task, written
 from textveil.llm.embdedup import usable
 
 K = 64  # centroids for each half; a row of the cell grid is a 64-bit mask
@@ -120,6 +120,7 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     xa, xb = nearest(x[:, :half], c1), nearest(x[:, half:], c2)
     share = calibrated_share(x, xa, xb, c1, c2, k, recall)
 
+    @task
     def assign(batches):
         import pyarrow as pa
 
@@ -148,6 +149,7 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     entries = index.select((base + F.pmod(F.xxhash64("id"), parts)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v", "a", "b",
                            F.lit(None).cast("array<long>").alias("masks"), F.lit(None).cast("double").alias("floor"))
 
+    @task
     def visit(batches):
         import pyarrow as pa
 
@@ -183,6 +185,7 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     asked = index.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.mapInArrow(visit, "shard int, kind int, id long, v array<double>, a int, b int, masks array<long>, floor double")
 
+    @task
     def rerank(batches):
         import pyarrow as pa
 

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.llm.common import by_sorted_keys, components, small, table, written
+from textveil.llm.common import by_sorted_keys, components, small, table, task, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     bands, rows = banding(threshold, recall)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    @task
     def sign(batches):
         import numpy as np
         import pyarrow as pa
@@ -262,6 +263,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     schema = "band int, h long, lo int, hi int, b int, rep long, f long, size int, copies long, bands array<long>"
     needed = written(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(name_needed, schema), "jaccard-needed")
 
+    @task
     def shingle(batches):
         import numpy as np
         import pyarrow as pa

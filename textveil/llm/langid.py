@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import fold, table
+from textveil.llm.common import fold, table, task
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -190,6 +190,7 @@ def predict(rows: DataFrame, net: Network | None, text_col: str = "text", id_col
     src = rows.select(*ids, F.when(has, F.col(text_col)).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
 
+    @task
     def run(batches):
         import numpy as np
         import pyarrow as pa

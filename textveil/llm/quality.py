@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import bounded_sample, fold, small, table, written
+from textveil.llm.common import bounded_sample, fold, small, table, task, written
 from textveil.llm.toxicity import logistic
 
 SAMPLE = 8000
@@ -72,6 +72,7 @@ def document_scores(docs: DataFrame, model, keep: list[Column], text_col: str =
     src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__quality_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", p double"
 
+    @task
     def run(batches):
         import numpy as np
         import pyarrow as pa

@@ -18,18 +18,19 @@ the unknown piece in a model without them.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import table
+from textveil.llm.common import table, task
 
 MARK = "▁"
 #: Where the public model is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_UNITS = 1_000_000
-SLICE = 8 << 20
+CACHE_UNITS = 400_000
+SLICE = 4 << 20
 
 # Fixed values of the model format: field numbers, model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -155,19 +156,16 @@ class Cache:
         self.at: dict[str, int] = {}
         self.n, self.start, self.ids, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
 
-    def add(self, units, ids):
+    def add(self, ids, n, start):
+        """Ids of further units, each one's number of them and where they start."""
         import numpy as np
 
-        if not units:
-            return
-        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units)), strict=True))
-        n = np.array([len(x) for x in ids], np.int32)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
+        self.start = np.concatenate([self.start, self.used + start])
         self.n = np.concatenate([self.n, n])
-        if self.used + n.sum() > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(n.sum())), np.int32)])
-        self.ids[self.used : self.used + int(n.sum())] = np.concatenate(ids)
-        self.used += int(n.sum())
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
 
 class Codec:
@@ -276,23 +274,27 @@ class Codec:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
-    def encode_units(self, units: list[str]) -> list:
-        """Piece ids of each unit, as arrays."""
+    def encode_units(self, units: list[str]):
+        """(ids, n, start): piece ids of all units end to end, and of each unit how many and where they start."""
         import numpy as np
 
-        out: list = [None] * len(units)
         lengths = np.array([len(u) for u in units])
-        for n in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == n)
-            step = max(1, 2_000_000 // max(1, n * min(n, self.longest)))
+        n, start, parts, used = np.zeros(len(units), np.int32), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
+        for size in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == size)
+            step = max(1, 2_000_000 // max(1, size * min(size, self.longest)))
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
-                codes = np.frombuffer("".join([units[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
-                for k, ids in zip(some.tolist(), self.viterbi(codes), strict=True):
-                    out[k] = ids
-        return out
+                codes = np.frombuffer("".join([units[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size)
+                ids, count = self.viterbi(codes)
+                parts.append(ids)
+                n[some] = count
+                start[some] = used + np.cumsum(count) - count
+                used += len(ids)
+        return np.concatenate(parts), n, start
 
     def viterbi(self, codes):
+        """(ids end to end, number of ids of each row) for units of equal length, given as code points."""
         import numpy as np
 
         w, n = codes.shape
@@ -364,7 +366,7 @@ class Codec:
         if unknown:
             return self.with_unknown(ids, unknown)
         keep = ids >= 0
-        return np.split(ids[keep].astype(np.int32), np.cumsum(keep.sum(axis=1))[:-1])
+        return ids[keep].astype(np.int32), keep.sum(axis=1)
 
     def with_unknown(self, ids, unknown):
         import numpy as np
@@ -381,8 +383,8 @@ class Codec:
                         got += [self.m.bytes[b] for b in chr(chars[r, k]).encode("utf-8", "replace")]
                     elif not got or got[-1] != self.m.unk:  # a run of unknown characters is one unknown piece
                         got.append(self.m.unk)
-            out.append(np.array(got, np.int32))
-        return out
+            out.append(got)
+        return np.array([p for got in out for p in got], np.int32), np.array([len(got) for got in out])
 
     def units(self, text: str) -> list[str]:
         """Units of a normal form: cut before each run of marks that follows something else, and around line breaks and
@@ -404,15 +406,20 @@ class Codec:
         cache = Cache() if cache is None else cache
         if len(cache.at) > CACHE_UNITS:
             cache.__init__()
-        cut = [self.units(self.m.normal(t)) for t in texts]
-        fresh = list({u for x in cut for u in x}.difference(cache.at))
-        cache.add(fresh, self.encode_units(fresh))
-        at = cache.at
-        which = np.array([at[u] for x in cut for u in x], np.int64)
+        # strings are dropped as soon as they have a number
+        at, known, which, counts = cache.at, len(cache.at), [], []
+        for t in texts:
+            numbers = np.array([at.setdefault(u, len(at)) for u in self.units(self.m.normal(t))], np.int32)
+            which.append(numbers)
+            counts.append(len(numbers))
+        if len(at) > known:
+            cache.add(*self.encode_units(list(islice(at, known, None))))
+        which = np.concatenate(which) if which else np.zeros(0, np.int32)
         n = cache.n[which]
-        flat = cache.ids[np.repeat(cache.start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(which) else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(x) for x in cut])] if cut else []
-        return np.split(flat, ends)[: len(texts)]
+        ends = np.cumsum(n, dtype=np.int64)
+        flat = cache.ids[np.repeat(cache.start[which] - (ends - n), n) + np.arange(int(n.sum()))]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def decode(self, ids) -> str:
         """Text of the ids; the blank that encoding put first is taken off."""
@@ -445,6 +452,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[st
     src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__piece_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", piece_ids array<int>" + ", decoded string" * decoded
 
+    @task
     def run(batches):
         import pyarrow as pa
 
@@ -478,6 +486,7 @@ def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @task
     def run(batches):
         import hashlib
 

@@ -23,12 +23,13 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import bounded_sample, fold, table
+from textveil.llm.common import bounded_sample, fold, table, task
 
 SAMPLE_TOXIC = 3000
 SAMPLE_OTHER = 6000
 SAMPLE_CHARS = 20_000
 LEXICON = 60_000
+CACHE = 150_000
 PREFIXES = (4, 5, 6, 7)
 CUT = 0.7
 
@@ -129,7 +130,7 @@ def words_of(text: str, model: CharModel, cache: dict) -> set[str]:
                 w = EDGE.sub("", t)
                 if ODD.search(w):
                     w = restore(w, model) if LETTER.search(w) else ""
-            if len(cache) > 400_000:
+            if len(cache) > CACHE:
                 cache.clear()
             cache[t] = w
         out.add(w)
@@ -147,30 +148,34 @@ def features(word: str):
             yield word[:n]
 
 
-def lexicon(texts: list[set[str]], toxic: list[bool]) -> dict[str, float]:
+def lexicon(texts: list[tuple[str, ...]], toxic: list[bool]) -> dict[str, float]:
     """Strength of each feature: log odds between the classes less one standard error; the LEXICON strongest above 0.5."""
     a, b = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
-        (a if t else b).update({f for w in words for f in features(w)})
+        if t:
+            a.update({f for w in words for f in features(w)})
+    a = {f: n for f, n in a.items() if n >= 3}
+    for words, t in zip(texts, toxic, strict=True):
+        if not t:
+            b.update({f for w in words for f in features(w) if f in a})
     nt, nn = sum(toxic) + 1, len(toxic) - sum(toxic) + 1
     out = {}
     for f, n in a.items():
-        if n >= 3:
-            m = b[f]
-            s = math.log((n + 0.5) / nt) - math.log((m + 0.5) / nn) - math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-            if s > 0.5:
-                out[f] = s
+        m = b[f]
+        s = math.log((n + 0.5) / nt) - math.log((m + 0.5) / nn) - math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+        if s > 0.5:
+            out[f] = s
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
 
 
-def evidence(words: set[str], lex: dict[str, float], cache: dict) -> list[float]:
+def evidence(words, lex: dict[str, float], cache: dict) -> list[float]:
     """Strength of the strongest word, of the second, and the mean of the strongest five."""
     top = [0.0] * 5
     for w in words:
         s = cache.get(w)
         if s is None:
             s = max(lex.get(f, 0.0) for f in features(w))
-            if len(cache) > 400_000:
+            if len(cache) > CACHE:
                 cache.clear()
             cache[w] = s
         if s > top[4]:
@@ -228,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # square roots: rare words shape the model too
     chars = CharModel(Counter({w: math.sqrt(n) for w, n in plain.items()}))
     cache: dict = {}
-    texts = [words_of(r["t"], chars, cache) for r in got]
+    texts = [tuple(words_of(r["t"], chars, cache)) for r in got]
     y = [bool(r["__toxic"]) for r in got]
     base = 0.5 * (sum(y) + 0.5) / (len(y) + 1) if y else 0.0
     half = [r["half"] for r in got]
@@ -256,13 +261,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     at, kept = (len(keep), len(keep)) if own else (keep.index(text_col), len(keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:kept]) + ", toxic_score double, toxic_predicted int"
 
+    @task
     def run(batches):
         import pyarrow as pa
 
         restored: dict = {}
         strength: dict = {}
         for batch in batches:
-            out = [model.score(words_of(t or "", model.chars, restored), strength) for t in batch.column(at).to_pylist()]
+            # some rows at a time: Python's strings are larger than Arrow's
+            texts = (t for lo in range(0, batch.num_rows, 500) for t in batch.column(at).slice(lo, 500).to_pylist())
+            out = [model.score(words_of(t or "", model.chars, restored), strength) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(out, pa.float64()), pa.array([int(s >= cut) for s in out], pa.int32())],
                                              names=[*batch.schema.names[:kept], "toxic_score", "toxic_predicted"])
 
