@@ -144,7 +144,10 @@ def listed(spans: Column) -> Column:
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
