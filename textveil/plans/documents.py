@@ -157,7 +157,7 @@ def reserved_numbering(spark, sf_dir):
 
 def _made_intervals(spark, sf_dir):
     # three intervals per order line; categories, sources and places follow from its numbers
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    li = table(spark, sf_dir, "lineitem")
     at = lambda e: F.expr(f"CAST({e} AS INT)")
     names = ["EMAIL", "IP", "PERSON", "ORG", "TOKEN", "PROJECT"]
     category = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("l_partkey") % 6 + 1).cast("int"))
@@ -176,7 +176,7 @@ _RESOLVE_SQL = """
 WITH RECURSIVE c AS (
   SELECT l_orderkey, ['EMAIL', 'IP', 'PERSON', 'ORG', 'TOKEN', 'PROJECT'][l_partkey % 6 + 1] AS category, l_suppkey % 50 AS "start", l_suppkey % 50 + 1 + l_partkey % 9 AS "end",
     CASE WHEN l_linenumber % 2 = 0 THEN 'rule' ELSE 'dictionary' END AS source, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 AS ord
-  FROM lineitem WHERE l_orderkey < 400
+  FROM lineitem
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE category WHEN 'EMAIL' THEN 3 WHEN 'IP' THEN 5 WHEN 'TOKEN' THEN 2 WHEN 'ORG' THEN 7 ELSE 6 END,
     CASE WHEN category = 'PERSON' THEN "start" - "end" ELSE 0 END, CASE source WHEN 'rule' THEN 1 ELSE 2 END, "start" - "end", "start", ord) AS rank FROM c

@@ -97,7 +97,7 @@ def entity_expand(spark, sf_dir):
 
 def entity_dedup_best(spark, sf_dir):
     """Of equal spans the most confident model's; confidences and models follow from order lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.select("l_orderkey", F.lit("PERSON").alias("category"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 2).alias("end"), F.lit("x").alias("text"),
                      F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 5 / 10).alias("confidence"), F.col("l_suppkey").cast("string").alias("model"))
     return entities.best_per_span(rows, ["l_orderkey"]).select("l_orderkey", "start", "confidence", "model")
@@ -105,7 +105,7 @@ def entity_dedup_best(spark, sf_dir):
 
 def entity_shadow(spark, sf_dir):
     """Person spans that a longer one of the same order covers."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.expr("l_suppkey % 20").alias("s"), F.expr("l_suppkey % 20 + 1 + l_partkey % 6").alias("e"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_suppkey % 20").alias("s"), F.expr("l_suppkey % 20 + 1 + l_partkey % 6").alias("e"))
     spans = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("PERSON").alias("category"), F.col("s").alias("start"), F.col("e").alias("end"), "l_linenumber")).alias("f"))
     one = spans.select("l_orderkey", "f", F.explode("f").alias("x"))
     return one.select("l_orderkey", F.col("x.l_linenumber").alias("l_linenumber"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), entities.shadowed(F.col("x.category"), F.col("x.start"), F.col("x.end"), F.col("f")).alias("shadowed"))
@@ -215,8 +215,8 @@ PLANS = {
     "entity_split_ws": (entity_split_ws, values_sql(_span_rows(SPLIT), SPAN_COLUMNS)),
     "entity_expand": (entity_expand, values_sql(_span_rows(SPREAD), SPAN_COLUMNS)),
     "entity_dedup_best": (entity_dedup_best, """SELECT l_orderkey, "start", confidence, model FROM (SELECT l_orderkey, l_linenumber AS "start", CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 5 / 10 END AS confidence, CAST(l_suppkey AS VARCHAR) AS model,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, CAST(l_suppkey AS VARCHAR)) AS n FROM lineitem WHERE l_orderkey < 2000) WHERE n = 1"""),
-    "entity_shadow": (entity_shadow, """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS s, l_suppkey % 20 + 1 + l_partkey % 6 AS e FROM lineitem WHERE l_orderkey < 3000)
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, CAST(l_suppkey AS VARCHAR)) AS n FROM lineitem) WHERE n = 1"""),
+    "entity_shadow": (entity_shadow, """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS s, l_suppkey % 20 + 1 + l_partkey % 6 AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, s AS "start", e AS "end", EXISTS (SELECT 1 FROM t o WHERE o.l_orderkey = t.l_orderkey AND o.s <= t.s AND t.e <= o.e AND o.e - o.s > t.e - t.s) AS shadowed FROM t"""),
     "names_he": (names_he, values_sql(_span_rows(HE), SPAN_COLUMNS)),
     "names_basic": (_recognised([t for t, _ in NAMES]), values_sql([(i, n) for i, (_, n) in enumerate(NAMES)], "id BIGINT, names VARCHAR")),
