@@ -24,7 +24,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 100
-BLOCK = 512
+BLOCK = 256
 CHUNK = 1 << 20
 
 
