@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -23,11 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_written() -> None:
+    """Intermediate tables go when the driver ends; results that are still read depend on them until then."""
+    for spark, path in _written:
+        try:
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # the session has ended before
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and any executor can go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textveil/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -81,7 +81,7 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED, id_col: str = "doc_
     groups = written(groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "mix-groups")
     targets = source_targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), most)
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    per_size = groups.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("t_source"))).select(
+    per_size = groups.join(small(targets), F.col("source").eqNullSafe(F.col("t_source"))).select(
         F.col("source").alias("g_source"), F.col("size").alias("g_size"), "base", "source_size", "target", F.ceil(F.sqrt("n")).alias("buckets"))
     dealt = sized.join(small(per_size), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size"))).select(
         "doc_id", "source", "size", "base", "source_size", "target",
