@@ -92,3 +92,18 @@ def test_detection_shuffles_nothing(spark, sf_dir):
     assert "Exchange" not in plan and "Python" not in plan
     read = docs.select("doc_id").where(F.col("doc_id") > 5)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in read.split("ReadSchema")[-1] and "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in read
+
+
+def test_quantiles_of_any_shape(spark):
+    import random
+
+    from textveil.operators.evaluate import quantiles
+
+    rng, rows = random.Random(4), []
+    for g, n in (("a", 1), ("b", 2), ("c", 999), (None, 50), ("hot", 3000)):
+        rows += [(g, 7.0 if g == "hot" and rng.random() < 0.6 else rng.choice([rng.random(), float(rng.randint(0, 9))])) for _ in range(n)]
+    rows.append(("a", None))
+    got = {r["g"]: (r["n"], r["median"], r["p95"]) for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert got[g] == (len(v), v[len(v) // 2], v[max(0, int(len(v) * 0.95) - 1)])

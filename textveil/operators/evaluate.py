@@ -40,18 +40,30 @@ def precision_recall(gold: DataFrame, found: DataFrame, keys: list[str], by: str
     return counts.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """median = the item n // 2 and p95 = the item max(0, int(0.95 n) - 1) of the sorted values, not interpolated.
+def quantiles(df: DataFrame, value: str, *by: str, buckets: int = 200) -> DataFrame:
+    """n, median = the item n // 2 and p95 = the item max(0, int(0.95 n) - 1) of the sorted values, not interpolated.
 
-    Counts per distinct value are summed up in order, so no group's values meet in one task; which value holds a rank follows from
-    the running counts.
+    No group is sorted as a whole: approximate quantiles cut each group into buckets, counts per bucket tell which of them hold the
+    two ranks, and only those buckets' values are counted one by one. The result doesn't depend on where the cuts are.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
-    rows = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(*by))})
-    at = {"median": F.floor(F.col("n") / 2), "p95": F.greatest(F.lit(0), F.floor(F.col("n") * 95 / 100) - 1)}
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts"))
+    null_safe = lambda a, b: [a[c].eqNullSafe(b[c]) for c in by]
+    placed = rows.alias("r").join(cuts.alias("c"), null_safe(_of("r", by), _of("c", by))).select(*[F.col(f"r.{c}") for c in by], "v", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("bucket"))
+    counts = placed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("bucket"))
+    counts = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(*by))})
+    ranks = {"median": F.floor(F.col("n") / 2), "p95": F.greatest(F.lit(0), F.floor(F.col("n") * 95 / 100) - 1)}
     holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r)
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col(value))).alias(name) for name, r in at.items()])
+    wanted = counts.where(holds(ranks["median"]) | holds(ranks["p95"])).select(*by, "bucket", "n", (F.col("upto") - F.col("c")).alias("base"))
+    values = placed.alias("r").join(wanted.alias("w"), [*null_safe(_of("r", by), _of("w", by)), F.col("r.bucket") == F.col("w.bucket")]).select(*[F.col(f"r.{c}") for c in by], "r.bucket", "v", "n", "base")
+    values = values.groupBy(*by, "bucket", "n", "base", "v").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("upto", F.col("base") + F.sum("c").over(Window.partitionBy(*by, "bucket").orderBy("v")))
+    return values.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col("v"))).alias(name) for name, r in ranks.items()])
+
+
+def _of(alias: str, columns) -> dict[str, Column]:
+    return {c: F.col(f"{alias}.{c}") for c in columns}
 
 
 def values_by_category(findings: DataFrame, *by: str) -> DataFrame:

@@ -58,13 +58,18 @@ def restore(replies: DataFrame, mappings: DataFrame, keys: list[str], text_col:
 def live_mapping(replies: DataFrame, events: DataFrame, session: str, ts: str, order: str, payload: str, ttl: int = TTL_SECONDS) -> DataFrame:
     """As-of join: for each reply the newest event of its session not after it, if not yet expired and not a tombstone (null payload).
 
-    A mapping made at t lives in [t, t + ttl). Events at one time go by `order`. Both sides are merged and one window per session
-    carries the last event forward: one shuffle by session, no range join. Adds mapping_id and mapping_ts, null without a live mapping.
+    A mapping made at t lives in [t, t + ttl), so what is live lies in a reply's own ttl-long slot of time or in the one before. Events
+    go to their own slot and the next; both sides are merged, and a window per session and slot carries the last event forward. One
+    shuffle, no range join, and a session of any length is spread over its slots. Events at one time go by `order`. Adds mapping_id and
+    mapping_ts, null without a live mapping.
     """
-    sides = events.select(F.col(session).alias("s"), F.col(ts).alias("t"), F.lit(0).alias("side"), F.col(order).alias("o"), F.lit(None).cast(replies.schema[order].dataType).alias("reply"), F.struct(F.col(order).alias("id"), F.col(ts).alias("ts"), F.col(payload).isNotNull().alias("live")).alias("m"))
-    both = sides.unionByName(replies.select(F.col(session).alias("s"), F.col(ts).alias("t"), F.lit(1).alias("side"), F.col(order).alias("o"), F.col(order).alias("reply"), F.lit(None).cast(sides.schema["m"].dataType).alias("m")))
-    newest = F.last("m", ignorenulls=True).over(Window.partitionBy("s").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("m", newest).where("side = 1")
+    slot = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / ttl).cast("long")
+    kind = replies.schema[order].dataType
+    sides = events.select(F.col(session).alias("s"), F.col(ts).alias("t"), F.explode(F.array(slot(ts), slot(ts) + 1)).alias("slot"), F.lit(0).alias("side"), F.col(order).alias("o"), F.lit(None).cast(kind).alias("reply"),
+                          F.struct(F.col(order).alias("id"), F.col(ts).alias("ts"), F.col(payload).isNotNull().alias("live")).alias("m"))
+    asks = replies.select(F.col(session).alias("s"), F.col(ts).alias("t"), slot(ts).alias("slot"), F.lit(1).alias("side"), F.col(order).alias("o"), F.col(order).alias("reply"), F.lit(None).cast(sides.schema["m"].dataType).alias("m"))
+    newest_ = F.last("m", ignorenulls=True).over(Window.partitionBy("s", "slot").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0))
+    out = sides.unionByName(asks).withColumn("m", newest_).where("side = 1")
     live = F.col("m.live") & (F.col("t") < F.col("m.ts") + F.expr(f"INTERVAL {ttl} SECONDS"))
     return out.select(F.col("s").alias(session), F.col("t").alias(ts), F.col("reply").alias(order), F.when(live, F.col("m.id")).alias("mapping_id"), F.when(live, F.col("m.ts")).alias("mapping_ts"))
 
