@@ -107,3 +107,15 @@ def test_quantiles_of_any_shape(spark):
     for g in {g for g, _ in rows}:
         v = sorted(x for h, x in rows if h == g and x is not None)
         assert got[g] == (len(v), v[len(v) // 2], v[max(0, int(len(v) * 0.95) - 1)])
+
+
+def test_views_for_sql(spark):
+    from textveil import api
+
+    spark.createDataFrame([(1, "mail a@b.com or A@B.com"), (2, "none")], "id long, text string").createOrReplaceTempView("notes")
+    api.create_masked_view(spark, "notes", "masked_notes")
+    api.create_findings_view(spark, "notes", "note_findings", ["id"])
+    assert [tuple(r) for r in spark.sql("SELECT category, count(*), count(DISTINCT replacement) FROM note_findings GROUP BY category").collect()] == [("EMAIL", 2, 1)]
+    spark.sql("SELECT id, masked || ' <IP_9>' AS text, mapping FROM masked_notes").createOrReplaceTempView("replies")
+    api.create_restored_view(spark, "replies", "back")
+    assert [tuple(r) for r in spark.sql("SELECT id, restored, restored_count, unknown_count FROM back ORDER BY id").collect()] == [(1, "mail A@B.com or A@B.com <IP_9>", 2, 1), (2, "none <IP_9>", 0, 1)]

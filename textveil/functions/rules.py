@@ -63,6 +63,25 @@ def id_valid(text: Column, span: Column) -> Column:
     return (F.lower(span["key"]) != "valid") & span["value"].rlike(r"\p{Nd}")
 
 
+DIGIT = r"\p{Nd}"
+
+
+def folds_oddly(text: Column) -> Column:
+    """It has a letter outside ASCII that matches s or i without case, though lower() doesn't give those."""
+    return text.contains("ſ") | text.contains("İ")
+
+
+class Text:
+    """A text with what cheap tests of it need: in lower case, whether it has a digit, and whether lower case can be relied on. `detect`
+    computes them once per row."""
+
+    def __init__(self, text: Column, low: Column | None = None, digit: Column | None = None, odd: Column | None = None):
+        self.text = text
+        self.low = F.lower(text) if low is None else low
+        self.digit = text.rlike(DIGIT) if digit is None else digit
+        self.odd = folds_oddly(text) if odd is None else odd
+
+
 @dataclass(frozen=True)
 class Rule:
     """A category's pattern; lead and value are groups as in find_all, hint a cheap test that any match implies."""
@@ -70,30 +89,45 @@ class Rule:
     name: str
     category: str
     pattern: str
+    hint: Callable[[Text], Column]
     lead: tuple[int, ...] = ()
     value: tuple[int, ...] = ()
     key: int | None = None
-    hint: Callable[[Column], Column] | None = None
     valid: Callable[[Column, Column], Column] | None = None
 
-    def spans(self, text: Column) -> Column:
-        guard = self.hint(text) if self.hint else None
-        found = find_all(text, self.pattern, self.lead, self.value, self.key, guard)
-        return F.filter(found, lambda s: self.valid(text, s)) if self.valid else found
+    def spans(self, text: Column | Text) -> Column:
+        t = text if isinstance(text, Text) else Text(text)
+        found = find_all(t.text, self.pattern, self.lead, self.value, self.key, self.hint(t))
+        return F.filter(found, lambda s: self.valid(t.text, s)) if self.valid else found
 
 
-def has(*parts: str) -> Callable[[Column], Column]:
-    def test(text: Column) -> Column:
+def has(*parts: str) -> Callable[[Text], Column]:
+    """The text holds one of the parts as they are."""
+
+    def test(t: Text) -> Column:
         out = F.lit(False)
         for p in parts:
-            out = out | text.contains(p)
+            out = out | t.text.contains(p)
         return out
 
     return test
 
 
-def matches(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: text.rlike(pattern)
+def says(*words: str, then: str | None = None) -> Callable[[Text], Column]:
+    """The text holds one of the words without regard to case, and matches `then` if given."""
+
+    def test(t: Text) -> Column:
+        out = t.odd
+        for w in words:
+            out = out | t.low.contains(w)
+        return out & t.text.rlike(then) if then else out
+
+    return test
+
+
+def digits(pattern: str) -> Callable[[Text], Column]:
+    """The text has digits, and then the pattern."""
+    return lambda t: t.digit & t.text.rlike(pattern)
 
 
 SEP = "(?:[:：=]|为)"
@@ -102,28 +136,30 @@ RULES = (
     Rule("db_credential", "DB_CREDENTIAL", rf"(?iu){WORD_START}(?:jdbc:[a-z0-9]+|(?:mysql|postgres(?:ql)?|mssql)://)[^{URL_END}]+", hint=has(":")),
     Rule("token", "TOKEN", rf"(?iu){WORD_START}(Bearer{WS}+)([A-Za-z0-9._~+/=-]+)|"
          + keyed(TOKEN_KEYS, SEP, ANY_QUOTE, r"[^\"'`\r\n]*", RAW)
-         + rf"|{WORD_START}(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", lead=(1, 3, 4), value=(2, 5, 6, 7), hint=matches("(?iu)bearer|token|令牌|eyj")),
+         + rf"|{WORD_START}(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", lead=(1, 3, 4), value=(2, 5, 6, 7), hint=says("bearer", "token", "令牌", "eyj")),
     Rule("api_key", "API_KEY", "(?iu)" + keyed(API_KEYS, SEP, ANY_QUOTE, "[A-Za-z0-9._~-]{12,}", "[A-Za-z0-9._~-]{12,}")
-         + rf"|{WORD_START}((?:sk|pk|ak|rk)_[A-Za-z0-9_-]{{12,}}(?<=[A-Za-z0-9_]){WORD_END})", lead=(1, 2), value=(3, 4, 5), hint=matches("(?iu)key|[spar]k_")),
-    Rule("password", "PASSWORD", "(?iu)" + keyed(PASSWORD_KEYS, SEP, ANY_QUOTE, r"[^\"'`\r\n]*", RAW), lead=(1, 2), value=(3, 4), hint=matches("(?iu)passw|pwd|密码|口令")),
-    Rule("secret", "SECRET", "(?iu)" + keyed(SECRET_KEYS, "[:=]", "\"'", r"[^\"'\r\n]*", RAW), lead=(1, 2), value=(3, 4), hint=matches("(?iu)secret")),
+         + rf"|{WORD_START}((?:sk|pk|ak|rk)_[A-Za-z0-9_-]{{12,}}(?<=[A-Za-z0-9_]){WORD_END})", lead=(1, 2), value=(3, 4, 5), hint=says("key", "sk_", "pk_", "ak_", "rk_")),
+    Rule("password", "PASSWORD", "(?iu)" + keyed(PASSWORD_KEYS, SEP, ANY_QUOTE, r"[^\"'`\r\n]*", RAW), lead=(1, 2), value=(3, 4), hint=says("passw", "pwd", "密码", "口令")),
+    Rule("secret", "SECRET", "(?iu)" + keyed(SECRET_KEYS, "[:=]", "\"'", r"[^\"'\r\n]*", RAW), lead=(1, 2), value=(3, 4), hint=says("secret")),
     Rule("id", "ID", rf'(?iu)(?<![A-Za-z0-9_])("?([A-Za-z][A-Za-z0-9_]*id|id)"?{WS}*[:=]{WS}*)(?:(")([A-Za-z0-9_-]{{3,}})"|([A-Za-z0-9_-]{{3,}}))',
-         lead=(1, 3), value=(4, 5), key=2, hint=matches("(?iu)id"), valid=id_valid),
-    Rule("id_card", "ID_CARD", rf"(?<!\p{{Nd}})\p{{Nd}}{{17}}{PERSONAL_ID_END}(?!{PERSONAL_ID_END})", hint=matches(r"\p{Nd}{17}")),
-    Rule("bank_card", "BANK_CARD", r"(?<!\p{Nd})\p{Nd}{16,19}(?!\p{Nd})", hint=matches(r"\p{Nd}{16}"), valid=lambda text, s: luhn_valid(s["value"])),
-    Rule("phone", "PHONE", r"(?<!\p{Nd})(?:\+86[- ]?)?1[3-9]\p{Nd}{9}(?!\p{Nd})", hint=matches(r"1[3-9]\p{Nd}{9}")),
+         lead=(1, 3), value=(4, 5), key=2, hint=lambda t: t.digit & says("id", then=rf'(?iu)id"?{WS}*[:=]')(t), valid=id_valid),
+    Rule("id_card", "ID_CARD", rf"(?<!\p{{Nd}})\p{{Nd}}{{17}}{PERSONAL_ID_END}(?!{PERSONAL_ID_END})", hint=digits(r"\p{Nd}{17}")),
+    Rule("bank_card", "BANK_CARD", r"(?<!\p{Nd})\p{Nd}{16,19}(?!\p{Nd})", hint=digits(r"\p{Nd}{16}"), valid=lambda text, s: luhn_valid(s["value"])),
+    Rule("phone", "PHONE", r"(?<!\p{Nd})(?:\+86[- ]?)?1[3-9]\p{Nd}{9}(?!\p{Nd})", hint=digits(r"1[3-9]\p{Nd}{9}")),
     Rule("email", "EMAIL", rf"(?<![{EMAIL_LOCAL}])[{EMAIL_LOCAL}]++@(?=[{HOST}]*\.[A-Za-z]{{2,}}(?![{HOST}]))[{HOST}]++", hint=has("@")),
     Rule("url", "URL", rf"(?iu){WORD_START}https?://[^{URL_END}]+", hint=has("://")),
-    Rule("ipv4", "IP", rf"(?<![\p{{Nd}}.]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{Nd}}.])", hint=matches(r"\p{Nd}\.\p{Nd}")),
-    Rule("domain", "DOMAIN", rf"(?<![{HOST}])(?:[A-Za-z0-9-]++\.)++[A-Za-z]{{2,}}(?![{HOST}])", hint=matches(r"[A-Za-z0-9-]\.[A-Za-z]{2}"), valid=domain_valid),
+    Rule("ipv4", "IP", rf"(?<![\p{{Nd}}.]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{Nd}}.])", hint=digits(r"\p{Nd}\.\p{Nd}")),
+    Rule("domain", "DOMAIN", rf"(?<![{HOST}])(?:[A-Za-z0-9-]++\.)++[A-Za-z]{{2,}}(?![{HOST}])", hint=lambda t: t.text.rlike(rf"(?i)\.(?:{'|'.join(DOMAIN_SUFFIXES)})"), valid=domain_valid),
     Rule("ipv6", "IP", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f:]{2,}+", hint=has(":"), valid=lambda text, s: s["value"].contains(":") & ipv6_valid(s["value"])),
 )
 BY_NAME = {r.name: r for r in RULES}
 
 
-def rule_candidates(text: Column, defaults: dict[str, bool] | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
+def rule_candidates(text: Column | Text, defaults: dict[str, bool] | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
     """Candidates of all rules, in rule order; ord numbers them."""
 
+    text = text if isinstance(text, Text) else Text(text)
+
     def one(rule: Rule) -> Column:
         chosen = default_selected(F.lit(rule.category), defaults)
         return F.transform(rule.spans(text), lambda s: F.struct(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textveil.functions.catalog import CANDIDATE, CANDIDATES, default_selected, none_of, risk
 from textveil.functions.overlaps import numbered, resolve
-from textveil.functions.rules import RULES, rule_candidates
+from textveil.functions.rules import DIGIT, RULES, Text, folds_oddly, rule_candidates
 from textveil.functions.spans import find_all, once
 
 #: Dictionary terms that one plan's expressions hold; larger dictionaries are matched by `dictionary_udf`.
@@ -104,11 +104,12 @@ def from_entities(entities: Column, source: str, defaults: dict[str, bool] | Non
         default_selected(e["category"], defaults).alias("selected"), F.lit(0).alias("ord")).cast(CANDIDATE))
 
 
-def candidates(text: Column, dictionary: list[tuple] = (), defaults: dict[str, bool] | None = None, extra: Column | None = None, rules=RULES) -> Column:
+def candidates(text: Column | Text, dictionary: list[tuple] = (), defaults: dict[str, bool] | None = None, extra: Column | None = None, rules=RULES) -> Column:
     """All candidates of a text, numbered: rules in their order, dictionary, extra ones as given."""
+    text = text if isinstance(text, Text) else Text(text)
     parts = [rule_candidates(text, defaults, rules)]
     if dictionary:
-        parts.append(dictionary_candidates(text, list(dictionary), defaults))
+        parts.append(dictionary_candidates(text.text, list(dictionary), defaults))
     if extra is not None:
         parts.append(F.coalesce(extra, none_of(CANDIDATES)))
     return numbered(F.concat(*parts))
@@ -122,8 +123,10 @@ def detect(df: DataFrame, text_col: str = "text", dictionary: list[tuple] = (),
 
         df = name_candidates(df, text_col, "__names", defaults)
         extra = F.col("__names") if extra is None else F.concat(F.coalesce(extra, none_of(CANDIDATES)), "__names")
-    df = df.withColumn("findings", once(candidates(F.coalesce(F.col(text_col), F.lit("")), dictionary, defaults, extra)))
-    out = df.withColumn("findings", once(resolve(F.col("findings"))))
+    df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumns({"__low": once(F.lower("__text")), "__digit": once(F.col("__text").rlike(DIGIT)), "__odd": once(folds_oddly(F.col("__text")))})
+    df = df.withColumn("findings", once(candidates(Text(F.col("__text"), F.col("__low"), F.col("__digit"), F.col("__odd")), dictionary, defaults, extra)))
+    out = df.withColumn("findings", once(resolve(F.col("findings")))).drop("__text", "__low", "__digit", "__odd")
     return out.drop("__names")
 
 

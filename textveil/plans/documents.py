@@ -16,7 +16,7 @@ RULE_OF = {"rule_email": "EMAIL", "rule_bank_card": "BANK_CARD", "rule_ipv4": "I
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
 
 
 def _found(spark, sf_dir):

@@ -152,7 +152,7 @@ def tagged_locate(spark, sf_dir):
 
 
 def chunk_chars(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = table(spark, sf_dir, "documents", "doc_id", "text")
     out = chunking.char_chunks(df, "人名")
     return out.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.length("chunk_text").cast("bigint").alias("chars"))
 
@@ -167,7 +167,7 @@ _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 def chunk_tokens(spark, sf_dir):
     """Words as tokens."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
+    df = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
     df = df.withColumn("offsets", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end"))))
     out = chunking.token_chunks(df, "offsets")
     return out.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))

@@ -17,11 +17,11 @@ gold AS (SELECT * FROM found WHERE "start" % 3 <> 0 UNION ALL SELECT doc_id, 'EM
 
 
 def _found(spark, sf_dir):
-    return exploded(detect(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).select("doc_id", "category", "start", "end", "value")
+    return exploded(detect(table(spark, sf_dir, "documents", "doc_id", "text")), ["doc_id"]).select("doc_id", "category", "start", "end", "value")
 
 
 def _gold(spark, sf_dir, found):
-    extra = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit("EMAIL").alias("category"), F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"), F.lit("").alias("value"))
+    extra = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 5 = 0").select("doc_id", F.lit("EMAIL").alias("category"), F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"), F.lit("").alias("value"))
     return found.where("start % 3 <> 0").unionByName(extra)
 
 
@@ -158,7 +158,7 @@ def file_listing(spark, sf_dir):
 
 def label_shares(spark, sf_dir):
     """Labels by language: counts with empty denominators as 0."""
-    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents", "doc_id", "lang"), "doc_id")
     out = df.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     return out.select("lang", "good", "bad", F.round(evaluate.ratio(F.col("good"), F.col("good") + F.col("bad")), 9).alias("share"))
 

@@ -13,7 +13,7 @@ LUHN = """(SELECT sum(CASE WHEN (len(value) - k) % 2 = 1 THEN CASE WHEN d * 2 >
 
 def on_table(rule: str, name: str, key: str, text: str = "text"):
     def query(spark, sf_dir):
-        df = table(spark, sf_dir, name)
+        df = table(spark, sf_dir, name, key, text)
         return span_rows(df, BY_NAME[rule].spans(F.col(text)), key)
 
     return query

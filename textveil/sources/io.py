@@ -35,6 +35,12 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its files make fewer than half as many splits; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def read_cases(spark: SparkSession, path: str, schema: str = CASE) -> DataFrame:
     """A corpus of one JSON array, or of JSON files of one each."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
