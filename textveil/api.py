@@ -7,6 +7,7 @@
     back = api.restore(replies, maps, ["doc_id"])
 """
 
+from textveil.operators.adapters import prompted, token_windowed
 from textveil.operators.chunking import char_chunks, place, token_chunks
 from textveil.operators.detect import detect, exploded, high_risk_only, toggle, unmasked_high_risk
 from textveil.operators.entities import best_per_span, label_category, locate_tagged, to_findings
