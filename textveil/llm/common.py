@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textveil.sources.io import spread
+
 #: Rows of a side that may be broadcast; with keys of a few dozen bytes that is some 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -60,7 +62,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those with texts are dealt out to all cores if they come in fewer splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:

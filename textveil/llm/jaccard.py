@@ -25,7 +25,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 100
 BLOCK = 256
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:

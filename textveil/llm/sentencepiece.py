@@ -29,8 +29,8 @@ MARK = "▁"
 #: Where the public model is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_UNITS = 400_000
-SLICE = 4 << 20
+CACHE_UNITS = 250_000
+SLICE = 2 << 20
 
 # Fixed values of the model format: field numbers, model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -434,13 +434,13 @@ class Codec:
 
 
 def codec(data: bytes) -> Codec:
-    """The codec of a model, kept for the life of a Python worker."""
+    """The codec of a model, kept for the life of a Python worker; units encoded so far are kept for a task only."""
     import sys
 
     held = sys.__dict__.setdefault("_textveil_codecs", {})
     if hash(data) not in held:
         held.clear()
-        held[hash(data)] = (Codec(Model(data)), Cache())
+        held[hash(data)] = Codec(Model(data))
     return held[hash(data)]
 
 
@@ -468,7 +468,7 @@ def encoded(batches, model: bytes, back: bool = True):
     import numpy as np
     import pyarrow.compute as pc
 
-    c, cache = codec(model)
+    c, cache = codec(model), Cache()
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
         cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
