@@ -29,8 +29,8 @@ MARK = "▁"
 #: Where the public model is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_UNITS = 250_000
-SLICE = 2 << 20
+CACHE_UNITS = 150_000
+SLICE, TOGETHER = 1 << 20, 4  # bytes of text in a slice; slices whose units are encoded together
 
 # Fixed values of the model format: field numbers, model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -106,6 +106,16 @@ class Model:
         return text.replace(" ", MARK)
 
 
+SPREAD = 0xD6E8FEB86659FD93
+
+
+def spread_bits(x):
+    """A bijection of uint64 that brings all bits of x into the leading ones, which serve as buckets."""
+    import numpy as np
+
+    return x * np.uint64(SPREAD)
+
+
 class Index:
     """Sorted keys with a table of where each leading-bits bucket starts; find() gives positions, -1 if absent."""
 
@@ -117,16 +127,19 @@ class Index:
         self.shift = np.uint64(64 - bits)
         bucket = (self.keys[:-1] >> self.shift).astype(np.int64)
         self.start = np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.int32)
+        self.taken = np.diff(self.start) > 0  # most probes end at this table of bytes
         self.most = int(np.diff(self.start).max())
 
     def find(self, h):
         import numpy as np
 
-        b = (h >> self.shift).astype(np.int64)
+        out = np.full(len(h), -1, np.int32)
+        b = (h >> self.shift).astype(np.int32)
+        live = np.flatnonzero(self.taken[b])
+        if not len(live):
+            return out
+        b, h = b[live], h[live]
         at, end = self.start[b], self.start[b + 1]
-        out = np.full(len(h), -1, np.int64)
-        live = np.flatnonzero(at < end)
-        at, end, h = at[live], end[live], h[live]
         for _ in range(self.most):
             hit = self.keys[at] == h
             out[live[hit]] = self.order[at[hit]]
@@ -138,15 +151,6 @@ class Index:
         return out
 
 
-def mix64(x):
-    """Spreads a uint64 array's bits, so that leading bits can serve as buckets."""
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 class Cache:
     """Units encoded so far: number of each, and their ids end to end."""
 
@@ -188,7 +192,7 @@ class Codec:
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
         with np.errstate(over="ignore"):
-            self.index, self.key_ids = Index(mix64(keys), 18), np.array(ids)
+            self.index, self.key_ids = Index(spread_bits(keys), 20), np.array(ids)
         self.scores = np.array(model.scores)
         self.unk_score = float(min(model.scores[i] for i in ids)) - 10.0
         # bytes that each piece decodes to, laid end to end
@@ -218,7 +222,7 @@ class Codec:
                 if a is not None and b is not None:
                     pairs[a * n + b] = i
         with np.errstate(over="ignore"):
-            self.pair_index = Index(mix64(np.array(list(pairs), np.uint64)), 20)
+            self.pair_index = Index(spread_bits(np.array(list(pairs), np.uint64)), 21)
         pair_piece = np.array(list(pairs.values()), np.int64)
         # rank: the order in which merges are preferred
         order = np.argsort(-self.scores, kind="stable")
@@ -248,7 +252,7 @@ class Codec:
         import numpy as np
 
         with np.errstate(over="ignore"):
-            return self.pair_rank[self.pair_index.find(mix64((a * len(self.m.pieces) + b).astype(np.uint64)))]
+            return self.pair_rank[self.pair_index.find(spread_bits((a * len(self.m.pieces) + b).astype(np.uint64)))]
 
     def compatible(self, a, b):
         """Whether merging the text of a then b leaves just these two pieces; a = -1 stands for a text's start."""
@@ -282,7 +286,7 @@ class Codec:
         n, start, parts, used = np.zeros(len(units), np.int32), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
         for size in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == size)
-            step = max(1, 2_000_000 // max(1, size * min(size, self.longest)))
+            step = max(1, 4_000_000 // max(1, size * min(size, self.longest)))
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
                 codes = np.frombuffer("".join([units[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size)
@@ -298,59 +302,64 @@ class Codec:
         import numpy as np
 
         w, n = codes.shape
+        # arrays are by place, then by unit: one place of all units lies together
         with np.errstate(over="ignore"):
-            prefix = np.zeros((w, n + 1), np.uint64)
+            prefix = np.zeros((n + 1, w), np.uint64)
             for i in range(n):
-                prefix[:, i + 1] = prefix[:, i] * np.uint64(self.BASE) + codes[:, i] + np.uint64(1)
+                prefix[i + 1] = prefix[i] * np.uint64(self.BASE) + codes[:, i] + np.uint64(1)
             power = np.ones(self.longest + 1, np.uint64)
             for i in range(self.longest):
                 power[i + 1] = power[i] * np.uint64(self.BASE)
         bpe = self.m.type == BPE
-        score = np.zeros((w, n + 1))
-        last = np.full((w, n + 1), -1, np.int64)  # the piece that ends here on the best path
-        back = np.zeros((w, n + 1), np.int32)
+        score = np.zeros((n + 1, w))
+        last = np.full((n + 1, w), -1, np.int32)  # the piece that ends here on the best path
+        back = np.zeros((n + 1, w), np.int32)
+        every = np.arange(w)
         for end in range(1, n + 1):
             best = np.full(w, -np.inf)
-            open_ = np.arange(w)
+            open_ = every
             for size in range(min(end, self.longest), 0, -1):
                 with np.errstate(over="ignore"):
-                    h = prefix[open_, end] - prefix[open_, end - size] * power[size]
-                    k = self.index.find(mix64(h))
-                hit = k >= 0
-                if not hit.any():
+                    # all units are open at first: no need to gather them
+                    to, from_ = (prefix[end], prefix[end - size]) if open_ is every else (prefix[end][open_], prefix[end - size][open_])
+                    k = self.index.find(spread_bits(to - from_ * power[size]))
+                hit = np.flatnonzero(k >= 0)
+                if not len(hit):
                     continue
                 u, piece = open_[hit], self.key_ids[k[hit]]
                 if bpe:
                     fit = self.reached[piece]
-                    before = last[u, end - size]
+                    before = last[end - size][u]
                     # before = -2: an unknown character, which merges with nothing
-                    fit &= self.compatible(np.where(before == -2, -1, before), piece)
+                    fit &= self.compatible(np.where(before == -2, -1, before).astype(np.int64), piece)
                     u, piece = u[fit], piece[fit]
+                    if not len(u):
+                        continue
                     best[u] = 0.0
-                    last[u, end], back[u, end] = piece, size
+                    last[end][u], back[end][u] = piece, size
                     open_ = open_[best[open_] == -np.inf]
                     if not len(open_):
                         break
                 else:
-                    s = score[u, end - size] + self.scores[piece]
-                    # equal sums: the library keeps the one it met first, the longer piece
+                    s = score[end - size][u] + self.scores[piece]
+                    # equal sums: the one met first stays, the longer piece
                     up = s > best[u]
                     u = u[up]
                     best[u] = s[up]
-                    last[u, end], back[u, end] = piece[up], size
+                    last[end][u], back[end][u] = piece[up], size
             # a character that no piece covers is an edge of its own
             if bpe:
                 none = open_[best[open_] == -np.inf]
                 if len(none):
-                    last[none, end], back[none, end] = -2, 1
+                    last[end][none], back[end][none] = -2, 1
             else:
                 with np.errstate(over="ignore"):
-                    k = self.index.find(mix64(codes[:, end - 1].astype(np.uint64) + np.uint64(1)))
-                s = score[:, end - 1] + self.unk_score
+                    k = self.index.find(spread_bits(codes[:, end - 1].astype(np.uint64) + np.uint64(1)))
+                s = score[end - 1] + self.unk_score
                 none = np.flatnonzero((k < 0) & (s > best))
                 best[none] = s[none]
-                last[none, end], back[none, end] = -2, 1
-            score[:, end] = best
+                last[end][none], back[end][none] = -2, 1
+            score[end] = best
         # walk back all units together
         ids, pos, rows = np.full((w, n), -1, np.int64), np.full(w, n), np.arange(w)
         unknown = []
@@ -358,11 +367,11 @@ class Codec:
             rows = rows[pos[rows] > 0]
             if not len(rows):
                 break
-            p = last[rows, pos[rows]]
+            p = last[pos[rows], rows]
             ids[rows, k] = p
             for r in rows[p == -2].tolist():
                 unknown.append((r, k, int(codes[r, pos[r] - 1])))
-            pos[rows] -= back[rows, pos[rows]]
+            pos[rows] -= back[pos[rows], rows]
         if unknown:
             return self.with_unknown(ids, unknown)
         keep = ids >= 0
@@ -399,28 +408,39 @@ class Codec:
             return ([parts[0]] if parts[0] else []) + [MARK + x for x in parts[1:]]
         return RUNS.findall(text)
 
-    def encode(self, texts: list[str], cache: Cache | None = None) -> list:
-        """Piece ids of each text, as int32 arrays."""
+    def number(self, texts: list[str], cache: Cache) -> list:
+        """Numbers of each text's units in the cache; new units get the next ones, and are encoded by `learn`."""
         import numpy as np
 
-        cache = Cache() if cache is None else cache
-        if len(cache.at) > CACHE_UNITS:
-            cache.__init__()
-        # strings are dropped as soon as they have a number
-        at, known, which, counts = cache.at, len(cache.at), [], []
-        for t in texts:
-            numbers = np.array([at.setdefault(u, len(at)) for u in self.units(self.m.normal(t))], np.int32)
-            which.append(numbers)
-            counts.append(len(numbers))
-        if len(at) > known:
-            cache.add(*self.encode_units(list(islice(at, known, None))))
-        which = np.concatenate(which) if which else np.zeros(0, np.int32)
+        at = cache.at  # strings are dropped as soon as they have a number
+        return [np.array([at.setdefault(u, len(at)) for u in self.units(self.m.normal(t))], np.int32) for t in texts]
+
+    def learn(self, cache: Cache) -> None:
+        """Encode the units that have a number but no ids yet, all together."""
+        known = len(cache.n)
+        if len(cache.at) > known:
+            cache.add(*self.encode_units(list(islice(cache.at, known, None))))
+
+    def joined(self, numbers: list, cache: Cache) -> list:
+        """Piece ids of texts given by their units' numbers, as int32 arrays."""
+        import numpy as np
+
+        which = np.concatenate([*numbers, np.zeros(0, np.int32)])
         n = cache.n[which]
         ends = np.cumsum(n, dtype=np.int64)
         flat = cache.ids[np.repeat(cache.start[which] - (ends - n), n) + np.arange(int(n.sum()))]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) for x in numbers)])]
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
+    def encode(self, texts: list[str], cache: Cache | None = None) -> list:
+        """Piece ids of each text, as int32 arrays."""
+        cache = Cache() if cache is None else cache
+        if len(cache.at) > CACHE_UNITS:
+            cache.__init__()
+        numbers = self.number(texts, cache)
+        self.learn(cache)
+        return self.joined(numbers, cache)
+
     def decode(self, ids) -> str:
         """Text of the ids; the blank that encoding put first is taken off."""
         import numpy as np
@@ -464,19 +484,26 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[st
 
 
 def encoded(batches, model: bytes, back: bool = True):
-    """(slice of a batch, ids, decoded texts) for rows whose last column is the text; some million characters at a time."""
+    """(slice of a batch, ids, decoded texts) for rows whose last column is the text; some slices' units are encoded
+    together, and their ids put together slice by slice."""
     import numpy as np
     import pyarrow.compute as pc
 
     c, cache = codec(model), Cache()
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        text = batch.column(batch.num_columns - 1)
+        size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
         cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            part = batch.slice(lo, hi - lo)
-            texts = part.column(part.num_columns - 1).to_pylist()
-            ids = c.encode([t or "" for t in texts], cache)
-            yield part, [None if t is None else i for t, i in zip(texts, ids, strict=True)], [None if t is None else c.decode(i) for t, i in zip(texts, ids, strict=True)] if back else None
+        cut = list(zip(cut, cut[1:], strict=False))
+        for some in (cut[i : i + TOGETHER] for i in range(0, len(cut), TOGETHER)):
+            if len(cache.at) > CACHE_UNITS:
+                cache.__init__()
+            numbers = [c.number([t or "" for t in text.slice(lo, hi - lo).to_pylist()], cache) for lo, hi in some]
+            c.learn(cache)
+            for (lo, hi), which in zip(some, numbers, strict=True):
+                null = text.slice(lo, hi - lo).is_null().to_pylist()
+                ids = c.joined(which, cache)
+                yield batch.slice(lo, hi - lo), [None if z else i for z, i in zip(null, ids, strict=True)], [None if z else c.decode(i) for z, i in zip(null, ids, strict=True)] if back else None
 
 
 def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
