@@ -232,6 +232,17 @@ def test_restoration(spark, sf_dir):
     assert toxicity.fit(df, labels).weights is None
 
 
+def test_common_disguises_are_read():
+    words = collections.Counter({"idiot": 40, "stupid": 40, "really": 90, "you": 200, "are": 200, "moron": 30, "ass": 30, "a": 200, "as": 50, "worthless": 20})
+    model = toxicity.CharModel(words)
+    read = lambda t: toxicity.words_of(t, model, {})
+    for text, word in {"stuupid": "stupid", "iddiott": "idiot", "$$tupid": "stupid", "4$$": "ass", "a$$": "ass", "@$$!": "ass", "a s s": "ass", "s t u p i d": "stupid",
+                       "$ t u p 1 d": "stupid", "s  t -- u p i d": "stupid", "(a $ $)": "ass", "!d10t": "idiot", "(idiot!": "idiot"}.items():
+        assert word in read(text), (text, read(text))
+    assert read("worthless really") == {"worthless", "really"} and read("$100 5$ 2024 1,000 !!! 1 2 3 5 + 3") == set()
+    assert "stuupid" in read("stuupid") and toxicity.words_of("7" * 200_000, model, {}) == set()
+
+
 def test_language(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     got = langid.query(spark, d).join(common.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -1,8 +1,9 @@
 """Toxicity of texts that may be disguised: noisy-channel restoration, then scoring of the restored words.
 
 Channel: a writer of toxic words replaces letters by look-alikes (1d10t), draws them out (idiooot) or spaces them (i d i o t).
-A token with such signs becomes a lattice: a look-alike may stand for each of its letters or for nothing, a run of three or more equal
-letters for one, two or all of them, and a run of single characters with separators for one word. Viterbi decoding
+A token with such signs becomes a lattice: a look-alike may stand for each of its letters or for nothing, a run of two or more equal
+letters for one, two or all of them, and a run of three or more single characters with separators for one word. Marks at
+a token's ends are mostly punctuation, and a token without letters may be a number: both are readings with costs of their own. Viterbi decoding
 under a character trigram model, trained on the sample's plain words, picks the likeliest reading. Tokens
 without such signs have one path and stand as they are, so only the others are decoded.
 
@@ -40,10 +41,19 @@ LOOKALIKES = {
 }
 SIGN = r"@$!|+(€£"
 TOKEN = re.compile(rf"[\w{re.escape(SIGN)}]+")
-SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\w)")
-EDGE = re.compile(r"^(?![$@][^\W_])[\W_]+|[\W_]+$")
-ODD = re.compile(r"[\W\d_]|(.)\1\1")
+SINGLE = rf"(?:[^\W_]|[{re.escape(SIGN)}])"
+SPACED = re.compile(rf"(?<!\w){SINGLE}(?:[ .\-_*]++{SINGLE}){{2,}}(?!\w)")
+SINGLES = re.compile(SINGLE)
+ODD = re.compile(r"[\W\d_]|(.)\1")
+DRAWN = re.compile(r"[\W\d_]|(.)\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+TWICE = re.compile(r"(.)\1")
+#: Costs of leaving a look-alike out: within a word, and for marks that are punctuation before or after one.
+OUT = 12.0
+BEFORE = {"(": 0.5, "|": 0.5, "+": 0.5}
+AFTER = {"(": 0.5, "|": 0.5, "+": 0.5, "!": 0.5, "€": 0.5, "£": 0.5}
+#: Costs of a doubled sign for one, of a number's digit and of a mark beside it.
+ONCE, DIGIT, MARK = 3.0, 2.3, 0.7
 
 
 class CharModel:
@@ -66,6 +76,7 @@ class CharModel:
         one = {k: n / total for k, n in uni.items()}
         self.two = {k: math.log(0.8 * n / singles[k[0]] + 0.15 * one[k[1]]) for k, n in bi.items()}
         self.one = {k: math.log(0.15 * p) for k, p in one.items()}
+        self.once: dict[str, bool] = {}
         self.three = {k: math.log(0.7 * n / pairs[k[:2]] + 0.3 * math.exp(self.two[k[1:]])) for k, n in tri.items()}
 
     def log(self, s: str) -> float:
@@ -76,71 +87,104 @@ class CharModel:
             v = self.one.get(s[2], self.floor) - 1.0 if v is None else v - 1.0
         return v
 
+    def single(self, s: str) -> bool:
+        """Whether s[1] doubled, between s[0] and s[2], reads better as one."""
+        v = self.once.get(s)
+        if v is None:
+            c = s[1]
+            v = self.once[s] = self.log(s) - ONCE > self.log(s[0] + c + c) + self.log(c + c + s[2])
+        return v
+
+
+def undoubled(word: str, model: CharModel) -> str:
+    """restore() of a word of letters without runs of three: the reading of a run of two hangs on the letters beside it alone."""
+    s = f"\x02{word}\x03"
+    return TWICE.sub(lambda m: m[1] if model.single(s[m.start()] + m[1] + s[m.end() + 1]) else m[0], word)
+
 
 def segments(token: str):
     """The lattice: for each run of a character, its readings with their channel costs."""
     out, i = [], 0
+    head = len(token) - len(token.lstrip(SIGN + "_ "))
+    tail = len(token.rstrip(SIGN + "_ "))
     while i < len(token):
         j = i
         while j < len(token) and token[j] == token[i]:
             j += 1
         c, n = token[i], j - i
         if LETTER.match(c):
-            out.append([(c * n, 0.0)] if n < 3 else [(c, 0.5), (c * 2, 0.8), (c * n, 3.0)])
+            out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, ONCE)] if n == 2 else [(c, 0.5), (c * 2, 0.8), (c * n, 3.0)])
         elif c in LOOKALIKES:
-            read = [(x * (n if n < 3 else 1), 1.0) for x in LOOKALIKES[c]]
-            out.append([*read, *([(x * 2, 1.3) for x in LOOKALIKES[c]] if n >= 3 else []), ("", 12.0 if c.isdigit() or i else 6.0)])
+            left_out = OUT if c.isdigit() or head <= i < tail else BEFORE.get(c, 6.0) if i < head else AFTER.get(c, OUT)
+            cost = 1.0 if left_out > 1 or c == "+" else 3.0
+            once, twice = (cost, cost + 0.3) if n != 2 else (cost + ONCE, cost)
+            out.append([*[(x, once) for x in LOOKALIKES[c]], *([(x * 2, twice) for x in LOOKALIKES[c]] if n >= 2 else []), ("", left_out)])
         else:  # in a spaced run a gap is nothing or the end of a word
             out.append([("", 0.0), (" ", 1.0)] if c == " " else [("", 1.0)])
         i = j
     return out
 
 
+def as_number(token: str) -> float:
+    """Channel cost of a token without letters that stands for no word: a number, an amount, punctuation."""
+    signs = token.replace(" ", "")
+    if len(set(signs)) <= 1 and not signs.isdigit():
+        return MARK
+    money = sum(signs.count(c) for c in "$@")
+    digits = sum(c.isdigit() for c in signs)
+    runs = sum(c.isdigit() and c != before for before, c in zip(" " + signs, signs))  # as the lattice counts them
+    return DIGIT * runs + MARK * (len(signs) - digits) + (OUT - MARK) * max(0, money - 1)
+
+
 def restore(token: str, model: CharModel) -> str:
     """The likeliest reading of a token (lower case, single characters spaced apart): Viterbi over the lattice with states of two letters."""
-    states = {"\x02\x02": (0.0, "")}
+    states = {"\x02\x02": (0.0, None)}  # score, and the readings so far, last first
     for choices in segments(token):
-        after: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
+        after: dict[str, tuple] = {}
+        for state, (score, path) in states.items():
             for read, cost in choices:
                 s, last = score - cost, state
                 for ch in read:
                     s += model.log(last + ("\x03" if ch == " " else ch))
                     last = "\x02\x02" if ch == " " else last[1] + ch
                 held = after.get(last)
-                if held is None or s > held[0] or (s == held[0] and text + read < held[1]):
-                    after[last] = (s, text + read)
+                if held is None or s > held[0]:
+                    after[last] = (s, (read, path) if read else path)
         states = after
-    return max((score + model.log(state + "\x03"), text) for state, (score, text) in states.items())[1]
+    best, _, path = max(((score + model.log(state + "\x03"), state, path) for state, (score, path) in states.items()), key=lambda x: x[:2])
+    if not LETTER.search(token) and -as_number(token) >= best:
+        return ""
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
 
 
 def words_of(text: str, model: CharModel, cache: dict) -> set[str]:
-    """Distinct words of the restored text."""
+    """Distinct words of the restored text; a word of letters whose doubles read better as one stands as written, too."""
     low = text.lower()
     found, out = set(TOKEN.findall(low)), set()
     if SPACED.search(low):
         for x in set(SPACED.findall(low)):
-            out.update(restore(" ".join(LETTERS_DIGITS.findall(x)), model).split())
+            out.update(restore(" ".join(SINGLES.findall(x)), model).split())
     for t in found:
         w = cache.get(t)
         if w is None:
             if not ODD.search(t):
-                w = t
+                w = (t,)
+            elif DRAWN.search(t):
+                w = (restore(t, model),)
             else:
-                w = EDGE.sub("", t)
-                if ODD.search(w):
-                    w = restore(w, model) if LETTER.search(w) else ""
+                w = (t, undoubled(t, model))  # a double letter may well be meant
             if len(cache) > CACHE:
                 cache.clear()
             cache[t] = w
-        out.add(w)
+        out.update(w)
     out.discard("")
     return out
 
 
-LETTERS_DIGITS = re.compile(r"[^\W_]")
-
-
 def features(word: str):
     yield "=" + word
     for n in PREFIXES:
@@ -229,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got.sort(key=lambda r: (r["__id"], r["t"]))
     plain = Counter()
     for r in got:
-        plain.update(w for w in TOKEN.findall(r["t"].lower()) if not ODD.search(w))
+        plain.update(w for w in TOKEN.findall(r["t"].lower()) if not DRAWN.search(w))
     # square roots: rare words shape the model too
     chars = CharModel(Counter({w: math.sqrt(n) for w, n in plain.items()}))
     cache: dict = {}
