@@ -243,6 +243,16 @@ def test_common_disguises_are_read():
     assert "stuupid" in read("stuupid") and toxicity.words_of("7" * 200_000, model, {}) == set()
 
 
+def test_characters_are_counted_over_all_documents(spark):
+    rows = [(1, "plain words"), (2, "xylophone 2024 Xylophone zzz"), (3, "quartz " * 5000), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    want = toxicity.CharModel(collections.Counter({"plain": 1, "words": 1, "xylophone": 2**0.5, "quartz": 5000**0.5}))
+    got = toxicity.fit(docs, labels).chars
+    assert got.three.keys() == want.three.keys() and all(abs(got.three[k] - v) < 0.01 for k, v in want.three.items())
+    assert "xylophone" in toxicity.words_of("xyl0ph0ne", got, {})
+
+
 def test_language(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     got = langid.query(spark, d).join(common.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -4,7 +4,7 @@ Channel: a writer of toxic words replaces letters by look-alikes (1d10t), draws
 A token with such signs becomes a lattice: a look-alike may stand for each of its letters or for nothing, a run of two or more equal
 letters for one, two or all of them, and a run of three or more single characters with separators for one word. Marks at
 a token's ends are mostly punctuation, and a token without letters may be a number: both are readings with costs of their own. Viterbi decoding
-under a character trigram model, trained on the sample's plain words, picks the likeliest reading. Tokens
+under a character trigram model, counted on the plain words of all documents, picks the likeliest reading. Tokens
 without such signs have one path and stand as they are, so only the others are decoded.
 
 Scoring: words and word beginnings of the restored text, with a lower confidence bound of their log odds between toxic
@@ -12,7 +12,7 @@ and other texts of the training rows. A text's evidence is that of its strongest
 that length alone adds none; a logistic regression, fitted on the half of the sample that the words were not
 counted on, turns it into a score.
 
-Training takes at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows with at most SAMPLE_CHARS characters.
+Lexicon and regression take at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows with at most SAMPLE_CHARS characters.
 """
 
 from __future__ import annotations
@@ -57,16 +57,17 @@ ONCE, DIGIT, MARK = 3.0, 2.3, 0.7
 
 
 class CharModel:
-    """Interpolated character trigram model over words; characters outside the sample share one floor."""
+    """Interpolated character trigram model over words or their counted trigrams; characters outside them share one floor."""
 
-    def __init__(self, words: Counter):
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for w, n in words.items():
+    def __init__(self, words: Counter | None = None, tri: Counter | None = None):
+        tri, bi, uni = Counter(tri), Counter(), Counter()
+        for w, n in (words or {}).items():
             s = f"\x02\x02{w}\x03"
             for i in range(2, len(s)):
                 tri[s[i - 2 : i + 1]] += n
-                bi[s[i - 1 : i + 1]] += n
-                uni[s[i]] += n
+        for k, n in tri.items():
+            bi[k[1:]] += n
+            uni[k[2]] += n
         pairs, singles, total = Counter(), Counter(), max(1, sum(uni.values()))
         for k, n in tri.items():
             pairs[k[:2]] += n
@@ -258,8 +259,36 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
+    """Counts of the plain words' character trigrams over all texts of docs; a word counts by the square root of its number, so that rare words shape the model too."""
+
+    @task
+    def count(batches):
+        import pyarrow as pa
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                for t in batch.column(0).slice(lo, 500).to_pylist():
+                    found.update(TOKEN.findall(t.lower()))
+                if len(found) > CACHE:  # the groups are summed after
+                    yield rows({w: n for w, n in found.items() if not DRAWN.search(w)})
+                    found = Counter()
+        yield rows({w: n for w, n in found.items() if not DRAWN.search(w)})
+
+    words = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    s = F.concat(F.lit("\x02\x02"), "word", F.lit("\x03"))
+    each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(s, i, 3))).alias("k"), F.sqrt("n").alias("n"))
+    # whole numbers: sums don't hang on the order
+    got = each.groupBy("k").agg(F.sum(F.round(F.col("n") * 1024).cast("long")).alias("n")).orderBy("k").collect()
+    return Counter({r["k"]: r["n"] / 1024 for r in got})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from rows of docs that labels covers. A doubly labelled id is toxic if one label says so; null labels don't count.
+    """Learn from rows of docs that labels covers, characters from all of docs. A doubly labelled id is toxic if one label says so; null labels don't count.
 
     Without rows of both classes the score is a constant below the cut.
     """
@@ -271,11 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.where(text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).join(F.broadcast(ids), F.col(id_col) == F.col("__id"))
     got = rows.select("__id", "__toxic", text.alias("t"), F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).alias("half")).collect()
     got.sort(key=lambda r: (r["__id"], r["t"]))
-    plain = Counter()
-    for r in got:
-        plain.update(w for w in TOKEN.findall(r["t"].lower()) if not DRAWN.search(w))
-    # square roots: rare words shape the model too
-    chars = CharModel(Counter({w: math.sqrt(n) for w, n in plain.items()}))
+    chars = CharModel(tri=trigrams(docs, text_col))
     cache: dict = {}
     texts = [tuple(words_of(r["t"], chars, cache)) for r in got]
     y = [bool(r["__toxic"]) for r in got]
