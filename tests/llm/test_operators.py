@@ -207,6 +207,11 @@ def test_contexts_discover_and_redact(spark):
     assert "Python" not in shown and "Arrow" not in shown
 
 
+def test_overlapping_spans_are_redacted_whole(spark):
+    df = spark.createDataFrame([(1, "from 10.0.0.0 4111 1111 1111 1111 on")], "doc_id long, text string")
+    assert pii.redact(df).first()["text"] == "from <ip> on"
+
+
 # --- toxicity, language, quality
 
 def test_toxicity(spark, sf_dir):

@@ -155,7 +155,7 @@ def digest(spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of text_col replaced by its kind in angle brackets, as in <email>.
 
-    Of overlapping spans the one that starts first (then: first in KINDS) is replaced, and the next from its end on.
+    Of overlapping spans the one that starts first (then: first in KINDS) gives the kind; what sticks out of it goes with it.
     """
     spans = extract(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("found") > 0))
     spans = spans.select(F.col("key").alias("__key"), F.array_sort(F.concat("base", "found")).alias("__spans")).dropDuplicates(["__key"])
@@ -164,7 +164,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def step(acc, s):
         part = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.element_at(names, s["kind"] + 1))
         skip = s["start"] < acc["pos"]
-        return F.struct(F.when(skip, acc["pos"]).otherwise(s["end"]).alias("pos"), F.when(skip, acc["out"]).otherwise(part).alias("out"))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(skip, acc["out"]).otherwise(part).alias("out"))
 
     clean = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
