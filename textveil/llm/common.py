@@ -10,29 +10,54 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textveil.sources.io import spread
 
-#: Rows of a side that may be broadcast; with keys of a few dozen bytes that is some 50 MB.
-BROADCAST_ROWS = 500_000
+#: A side may be broadcast if it has at most so many rows and its values take at most so many bytes.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
+#: At most so many keys count as hot in a lookup; with fewer rows than HOT_ROWS none does.
+HOT_KEYS = 20_000
+HOT_ROWS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that executors and driver share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that executors and driver share: spark.checkpoint.dir. Only a local master may do without, and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "textveil-checkpoints")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """The names, lengthened until none is among columns (which are compared without case, as Spark does)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
-def _drop_written() -> None:
-    """Intermediate tables go when the driver ends; results that are still read depend on them until then."""
-    for spark, path in _written:
+def drop_written() -> None:
+    """Delete the intermediate tables written so far, as is done when the driver ends. Results that are still to be read depend on
+    them, so a long session calls this between jobs, when it has stored what it wants to keep."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,9 +81,41 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(col.cast("string")) % parts
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; at most one row more is looked at."""
+    fixed, free = 0, []
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            free.append(F.octet_length(named(f.name)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            free.append(F.octet_length(F.to_json(F.struct(named(f.name)))))
+        else:
+            fixed += 8
+    width = sum((F.coalesce(x, F.lit(0)).cast("long") for x in free), F.lit(fixed).cast("long"))
+    got = df.limit(rows + 1).select(width.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    return got["n"] <= rows and (got["w"] or 0) <= size
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else Spark joins it by shuffles, splitting hot keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it fits; else Spark joins it by shuffles, splitting hot keys."""
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) of left, whose keys may be as uneven as they like, with right, which has each key once; both written tables.
+
+    A right side that fits is broadcast. Else the rows of hot keys (at most HOT_KEYS of them, by how hot is defined) meet a
+    broadcast of those keys' rows and aren't shuffled at all, and the others are joined by a shuffle.
+    """
+    if fits(right):
+        return left.join(F.broadcast(right), keys, how)
+    most = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = written(left.groupBy(*keys).count().where(F.col("count") > most).select(*keys), "hot-keys")
+    if not hot.limit(1).count():
+        return left.join(right, keys, how)
+    few = right.join(F.broadcast(hot), keys, "left_semi")
+    many = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how)
+    return many.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,32 +133,31 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None)
     return df.orderBy(h, key).limit(rows)
 
 
-def components(edges: DataFrame, prefix: str, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id reachable, for each id in edges (a, b); ids are long.
+def components(edges: DataFrame, prefix: str) -> DataFrame:
+    """(id, root): the smallest id reachable, for each id in edges (a, b); ids are long. Null ids and loops don't count.
 
     Large-star and small-star steps on written tables; the number of rounds follows the logarithm of the
-    largest component's size. A star's centre may have many edges, but each step aggregates them to a
-    minimum before joining, and the join splits hot centres.
+    largest component's size. A star's centre may have any number of edges: minima are aggregated before the exchange, and
+    `lookup` brings them to a hot centre's edges without shuffling those.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{prefix}-edges")
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    while True:
+        # of each node, the least among itself and its neighbours
+        ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = written(ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{prefix}-least")
         # large star: larger neighbours of u go to the least node around u
-        large = edges.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        large = lookup(edges.select(F.col("u").alias("w"), F.col("v").alias("u")), least, ["u"]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = written(large.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), f"{prefix}-large")
         # small star: of the smaller neighbours of u, all go to the least
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        step = written(step, f"{prefix}-step")
-        # done when no node is both a centre and a leaf, and each leaf has one centre
-        loose = step.select("u").groupBy("u").count().where("count > 1").limit(1).count() or step.join(step.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{prefix}-down")
+        step = lookup(large, down, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        step = written(step.distinct(), f"{prefix}-step")
+        # done when each leaf has one centre, and no centre is a leaf
+        n = step.count()
+        leaves = step.select("u").distinct()
+        if n == leaves.count() and not lookup(step.select(F.col("v").alias("u")), written(leaves, f"{prefix}-leaves"), ["u"]).limit(1).count():
+            return step.select(F.col("u").alias("id"), F.col("v").alias("root"))
         edges = step
-        if not loose:
-            break
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def task(f):
