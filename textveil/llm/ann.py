@@ -5,7 +5,8 @@ a vector lies in one of K * K cells. For a query, a heap walks centroid pairs (a
 halves' products with the centroids until the cells seen hold a share of the index that was calibrated for
 the target recall. All vectors in those cells are reranked by the true product in float64.
 
-The codebooks and the share are fitted on a bounded sample (SAMPLE vectors); every vector is indexed. Vectors are
+The codebooks and the share are fitted on a bounded sample (SAMPLE vectors); every vector is indexed. K grows with the root of
+the number of vectors, from LEAST_K to MOST_K, so that a cell holds some PER_CELL of them. Vectors are
 dealt to shards of neighbouring first centroids, large ones split by a hash of the id, so no shard is larger
 than about SHARD vectors however many fall in one cell; a query goes only to shards with cells it visits,
 and a task streams its queries past one shard. For each query the sample's vectors in visited cells give a floor
@@ -19,10 +20,11 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.llm.common import bounded_sample, table, task, written
+from textveil.llm.common import bounded_sample, named, table, task, written
 from textveil.llm.embdedup import usable
 
-K = 64  # centroids for each half; a row of the cell grid is a 64-bit mask
+LEAST_K, MOST_K = 16, 512  # centroids for each half: multiples of 16
+PER_CELL = 12
 SAMPLE = 8192
 SHARD = 8192
 LEAST_SHARD = 512
@@ -52,22 +54,31 @@ def nearest(x, c):
 
 
 def walk(p, q, counts, want: int):
-    """Masks over b for each a of the cells visited: pairs by falling p[a] + q[b] until they hold `want` vectors."""
+    """Cells visited, as bits over b in words of 64 for each a: pairs by falling p[a] + q[b] until they hold `want` vectors."""
     import numpy as np
 
     oa, ob = np.argsort(-p, kind="stable"), np.argsort(-q, kind="stable")
-    sp, sq, n = p[oa].tolist(), q[ob].tolist(), counts[oa][:, ob].tolist()
-    oa, ob = oa.tolist(), ob.tolist()
-    masks, heap, got = [0] * len(counts), [(-(sp[0] + sq[0]), 0, 0)], 0
+    sp, sq = p[oa].tolist(), q[ob].tolist()
+    wide, high = ob.tolist(), oa.tolist()
+    n = counts.tolist() if isinstance(counts, np.ndarray) else counts
+    masks, heap, got = [0] * len(n), [(-(sp[0] + sq[0]), 0, 0)], 0
     while heap and got < want:
         _, i, j = heapq.heappop(heap)
-        masks[oa[i]] |= 1 << ob[j]
-        got += n[i][j]
-        if j + 1 < len(ob):
+        masks[high[i]] |= 1 << wide[j]
+        got += n[high[i]][wide[j]]
+        if j + 1 < len(wide):
             heapq.heappush(heap, (-(sp[i] + sq[j + 1]), i, j + 1))
-        if j == 0 and i + 1 < len(oa):
+        if j == 0 and i + 1 < len(high):
             heapq.heappush(heap, (-(sp[i + 1] + sq[0]), i + 1, 0))
-    return masks
+    words = -(-len(wide) // 64)
+    return np.frombuffer(b"".join(m.to_bytes(8 * words, "little") for m in masks), "<u8").reshape(len(n), words)
+
+
+def visited(masks, a, b):
+    """Whether each pair (a, b) of arrays is among the cells of masks (any leading axes, a, words)."""
+    import numpy as np
+
+    return (masks[..., a, b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
 def calibrated_share(x, a, b, c1, c2, k: int, recall: float, queries: int = 256) -> float:
@@ -102,7 +113,7 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     components); repeated candidate rows each count. No usable row gives no rows. Other columns are ignored.
     """
     spark = rows.sparkSession
-    vecs = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
+    vecs = rows.select(named(id_col).cast("long").alias("id"), named(vec_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
     vecs = vecs.where(F.col("id").isNotNull() & F.coalesce(usable("v"), F.lit(False)))
     dims = vecs.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -116,7 +127,8 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     got = bounded_sample(vecs.select("id", "v"), "id", SAMPLE, total).collect()
     x, x_id = np.array([r["v"] for r in got]), np.array([r["id"] for r in got], np.int64)
     half = max(1, dim // 2)
-    c1, c2 = kmeans(x[:, :half], K), kmeans(x[:, half:], K) if dim > 1 else np.zeros((1, 0))
+    size = min(MOST_K, max(LEAST_K, 16 * round((total / PER_CELL) ** 0.5 / 16)))
+    c1, c2 = kmeans(x[:, :half], size), kmeans(x[:, half:], size) if dim > 1 else np.zeros((1, 0))
     xa, xb = nearest(x[:, :half], c1), nearest(x[:, half:], c2)
     share = calibrated_share(x, xa, xb, c1, c2, k, recall)
 
@@ -131,9 +143,9 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
 
     index = written(vecs.mapInArrow(assign, "id long, v array<double>, is_query boolean, a int, b int"), "ann-index")
     counts = np.zeros((len(c1), len(c2)), np.int64)
-    for r in index.groupBy("a", "b").count().collect():  # K * K rows at most
+    for r in index.groupBy("a", "b").count().collect():  # MOST_K * MOST_K rows at most
         counts[r["a"], r["b"]] = r["count"]
-    want = max(int(np.ceil(share * total)), min(total, 50 * k))
+    want = max(int(np.ceil(share * total)), k + 1)
 
     # shards: runs of first centroids, from LEAST_SHARD vectors on; those above SHARD are split by a hash
     runs, lo, held = [], 0, 0
@@ -153,23 +165,23 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
     def visit(batches):
         import pyarrow as pa
 
+        grid = counts.tolist()
         for t in batches:
             out = {"shard": [], "id": [], "v": [], "masks": [], "floor": []}
             for i, q in zip(t.column("id").to_pylist(), t.column("v").to_pylist(), strict=True):
                 v = np.array(q)
-                masks = walk(c1 @ v[:half], c2 @ v[half:], counts, want)
-                m = np.array(masks, np.uint64)
-                seen = (m[xa] >> xb.astype(np.uint64)) & np.uint64(1)
-                s = (x[(seen > 0) & (x_id != i)] * v).sum(axis=1)
+                m = walk(c1 @ v[:half], c2 @ v[half:], grid, want)
+                s = (x[visited(m, xa, xb) & (x_id != i)] * v).sum(axis=1)
                 floor = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else None
-                signed = m.view(np.int64).tolist()
+                signed, any_ = m.view(np.int64), m.any(axis=1)
                 for r, (lo, hi, n) in enumerate(runs):
-                    if any(masks[lo:hi]):
+                    if any_[lo:hi].any():
+                        row = signed[lo:hi].ravel().tolist()
                         for p in range(n):
                             out["shard"].append(first[r] + p)
                             out["id"].append(i)
                             out["v"].append(q)
-                            out["masks"].append(signed[lo:hi])
+                            out["masks"].append(row)
                             out["floor"].append(floor)
                 if len(out["id"]) >= 2000:
                     yield rows_of(pa, out)
@@ -182,7 +194,8 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
             [pa.array(out["shard"], pa.int32()), pa.array([1] * n, pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["v"], pa.list_(pa.float64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(out["masks"], pa.list_(pa.int64())), pa.array(out["floor"], pa.float64())],
             names=["shard", "kind", "id", "v", "a", "b", "masks", "floor"])
 
-    asked = index.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
+    # the walk is the work here, and the groups after the exchange are few and small, which Spark would merge into few tasks
+    asked = index.where("is_query").groupBy("id").agg(F.min("v").alias("v")).repartition(max(8, spark.sparkContext.defaultParallelism, len(counts) // 8), "id")
     asked = asked.mapInArrow(visit, "shard int, kind int, id long, v array<double>, a int, b int, masks array<long>, floor double")
 
     @task
@@ -209,15 +222,15 @@ def neighbours(rows: DataFrame, is_query, k: int = NEIGHBOURS, recall: float = R
                     entries = pa.Table.from_batches(held)
                     ids = entries.column("id").to_numpy()
                     v = entries.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                    a, b = entries.column("a").to_numpy(), entries.column("b").to_numpy().astype(np.uint64)
+                    a, b = entries.column("a").to_numpy(), entries.column("b").to_numpy()
                     run = next(r for r, f in zip(runs, first, strict=False) if f <= at < f + r[2])
                     a = a - run[0]
                 for s in range(0, part.num_rows, 256):
                     some = part.slice(s, 256)
                     q = some.column("v").flatten().to_numpy().reshape(some.num_rows, -1)
-                    masks = some.column("masks").flatten().to_numpy().view(np.uint64).reshape(some.num_rows, -1)
+                    masks = some.column("masks").flatten().to_numpy().view(np.uint64).reshape(some.num_rows, run[1] - run[0], -1)
                     rough = q @ v.T
-                    rough[((masks[:, a] >> b[None, :]) & np.uint64(1)) == 0] = -np.inf
+                    rough[~visited(masks, a, b)] = -np.inf
                     out = []
                     slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(v).max())
                     for i, (own, floor) in enumerate(zip(some.column("id").to_pylist(), some.column("floor").to_pylist(), strict=True)):

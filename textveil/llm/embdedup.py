@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import by_sorted_keys, components, small, table, written
+from textveil.llm.common import by_sorted_keys, components, lookup, named, small, table, written
 
 THRESHOLD = 0.98
-BLOCK = 1024
+BLOCK = 4096
+STRIP = 512  # rows of a block that are multiplied together
 
 
 def usable(vec: str, dtype: str = "double"):
@@ -52,15 +53,19 @@ def links_in_tile(a, b, threshold: float, same: bool):
     xa, xb = unit(a), unit(b)
     (qa, sa, na, ra), (qb, sb, nb, rb) = quantise(xa), quantise(xb)
     kind = np.float32 if a.shape[1] <= 1040 else np.float64
-    dots = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64)
-    dots *= sa[:, None]
-    dots *= sb[None, :]
-    dots += ra[:, None] * nb[None, :]
-    dots += rb[None, :]
-    i, j = np.nonzero(dots >= threshold - 1e-9)
-    if same:
-        keep = i < j
-        i, j = i[keep], j[keep]
+    pa_, pb, found = qa.astype(kind), qb.astype(kind), []
+    for at in range(0, len(a), STRIP):
+        rows, first = slice(at, at + STRIP), at if same else 0  # of a block with itself, the half above the diagonal
+        dots = (pa_[rows] @ pb[first:].T).astype(np.float64)
+        dots *= sa[rows, None]
+        dots *= sb[None, first:]
+        dots += ra[rows, None] * nb[None, first:]
+        dots += rb[None, first:]
+        p, q = np.nonzero(dots >= threshold - 1e-9)
+        p, q = p + at, q + first
+        keep = p < q if same else slice(None)
+        found.append((p[keep], q[keep]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     hit = np.zeros(len(i), bool)
     for at in range(0, len(i), 65536):
         p, q = i[at : at + 65536], j[at : at + 65536]
@@ -94,10 +99,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int =
     n_links and share a component. An empty table gives no rows; a threshold above 1 isn't useful.
     Other columns are ignored.
     """
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    base = rows.select(named(id_col).cast("long").alias("vec_id"), named(label_col).cast("string").alias("label"), named(vec_col).cast("array<double>").alias("v"))
     base = base.withColumn("v", F.when(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0))))
+    # two hashes, 128 bits, stand for label and vector where equal ones meet
+    base = base.withColumns({"h": F.xxhash64("label", "v"), "g": F.xxhash64(F.lit("g"), "v", "label")})
     ok = base.where("v is not null")
-    reps = written(ok.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("label", "v")), "vec-reps")
+    reps = written(ok.groupBy("h", "g").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vec-reps")
     # rows of different length are never compared
     dim = F.size("v").alias("dim")
     blocks = reps.groupBy("label", dim).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -135,14 +142,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int =
     found = written(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "rep long, h long, links long, root long"), "vec-links")
     counts = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
     root = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vec")
-    of_rep = reps.join(small(counts), ["rep", "h"], "left").join(small(root.withColumnRenamed("id", "rep")), "rep", "left")
-    of_rep = of_rep.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = base.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    of_rep = reps.select("h", "g", "rep", "n").join(small(counts), ["rep", "h"], "left").join(small(root.withColumnRenamed("id", "rep")), "rep", "left")
+    of_rep = of_rep.select("h", "g", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     # only classes that have links need the join; the rest keep their own id
-    of_rep = of_rep.where("n_links > 0").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id")
-    joined = ok.join(of_rep, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left").select(
+    of_rep = written(of_rep.where("n_links > 0"), "vec-linked")
+    joined = lookup(ok.select("vec_id", "h", "g"), of_rep, ["h", "g"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return joined.unionByName(linked).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    alone = base.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

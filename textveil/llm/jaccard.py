@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textveil.llm.common import by_sorted_keys, components, small, table, task, written
+from textveil.llm.common import by_sorted_keys, components, fresh, lookup, named, small, table, task, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     from textveil.llm.embdedup import forest
 
     bands, rows = banding(threshold, recall)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
 
     @task
     def sign(batches):
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     in_bands = classes.select(F.posexplode("bands").alias("band", "h"), "rep", "f")
     buckets = in_bands.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = in_bands.join(small(buckets), ["band", "h"]).withColumn("b", F.pmod(F.xxhash64("rep", "f"), F.col("blocks")).cast("int"))
+    members = lookup(in_bands, written(buckets, "jaccard-buckets"), ["band", "h"]).withColumn("b", F.pmod(F.xxhash64("rep", "f"), F.col("blocks")).cast("int"))
     members = members.join(classes.select("rep", "f", "size", "copies", "bands"), ["rep", "f"])
     tiles = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("band", "h", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "f", "size", "copies", "bands")
@@ -313,29 +313,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     shipped = needed.join(sets, ["rep", "f"]).select(*keys, "b", "rep", "f", "size", "copies", "bands", "grams")
     found = written(shipped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "rep long, f long, links long, root long"), "jaccard-links")
 
-    counts = found.groupBy("rep", "f").agg(F.sum("links").alias("links"))
+    counts = written(found.groupBy("rep", "f").agg(F.sum("links").alias("links")), "jaccard-counts")
     root = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "jaccard")
-    linked = classes.join(small(counts), ["rep", "f"], "left").join(small(root.withColumnRenamed("id", "rep")), "rep", "left")
+    linked = classes.drop("bands").join(small(counts), ["rep", "f"], "left").join(small(root.withColumnRenamed("id", "rep")), "rep", "left")
     linked = linked.where("copies > 1 or links is not null or root is not null").select(
         "f", "g", "size", F.col("rep").alias("copy_id"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = part.select("doc_id", "f", "g", "size").join(small(linked), ["f", "g", "size"], "left")
+    out = lookup(part.select("doc_id", "f", "g", "size"), written(linked, "jaccard-linked"), ["f", "g", "size"], "left")
     rest = signed.where("not (size > 0 and doc_id is not null)").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class: the one whose id is the class's. Rows without id stay; of rows that share an id, the
-    one with the smallest text stays if that id does."""
+    one with the smallest text stays if that id does. Columns of any name pass through; an empty table gives no rows."""
+    key, row = fresh(docs.columns, "jaccard_id", "jaccard_row")
     found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null"), "jaccard-decided")
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = found.where("class_id = doc_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    gone = written(found.where("class_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "jaccard-gone")
+    out = lookup(docs.withColumn(key, named(id_col).cast("long")), gone, [key], "left_anti")
+    twice = written(found.where("class_id = doc_id").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "jaccard-twice")
     if twice.limit(1).count():
-        again = out.join(small(twice), F.col(id_col) == F.col("__twice"), "left_semi")
-        first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        again = again.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-        out = out.join(small(twice), F.col(id_col) == F.col("__twice"), "left_anti").unionByName(again)
-    return out
+        # a row per id: the rank is cut to the first before the exchange, so many rows of one id don't meet in a task
+        first = Window.partitionBy(key).orderBy(named(text_col).asc_nulls_last(), F.xxhash64(*[named(c) for c in docs.columns]))
+        again = lookup(out, twice, [key], "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
+        out = lookup(out, twice, [key], "left_anti").unionByName(again)
+    return out.select(*[named(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,17 +12,19 @@ characters at a hashed place in the text).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textveil.llm.common import fold, table, task
+from textveil.llm.common import fold, fresh, named, table, task
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANG = 1000
 EXCERPT = 700
-LANGS = 256  # languages learnt: the most frequent ones
+MOST_LANGS = 4096  # languages learnt at most: bounds the training set, and is a parameter
+RUN = 1 << 20  # bytes of a text that are looked at together
 BLANK = 0
 SYMBOLS = 1 + 26 + 128
 
@@ -146,22 +148,26 @@ class Network:
         return out
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG) -> Network | None:
-    """A network trained on at most per_lang excerpts for each of the LANGS most frequent languages; None without any."""
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Network | None:
+    """A network trained on at most per_lang excerpts for each language; None without any that holds a letter.
+
+    Beyond most_langs languages the rarest aren't learnt. Null texts and languages don't count; which excerpts are taken hangs on
+    hashes of id and text alone. Other columns are ignored.
+    """
     import numpy as np
 
-    known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    known = rows.select(named(id_col).cast("string").alias("id"), named(lang_col).alias("lang"), named(text_col).alias("t")).where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.1 * per_lang / r["count"]) * (1 << 30)))])
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    room = F.greatest(F.length(text_col) - EXCERPT, F.lit(0)) + 1
-    start = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("at")), room).cast("int") + 1
-    picked = known.where(h < share[F.col(lang_col)]).select(h.alias("h"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), start, F.lit(EXCERPT)).alias("t"))
-    got = picked.orderBy("h", "t").limit(int(1.3 * per_lang * len(counts)) + 100).collect()
-    langs = sorted({r["lang"] for r in got})
-    number = {x: i for i, x in enumerate(langs)}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.2 * per_lang / r["count"] + 64 / r["count"]) * (1 << 30)))])
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    room = F.greatest(F.length("t") - EXCERPT, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("id", F.lit("at")), room).cast("int") + 1
+    picked = known.where(h < F.try_element_at(share, F.col("lang"))).select(h.alias("h"), "lang", F.substring("t", start, F.lit(EXCERPT)).alias("t"))
+    # exactly per_lang of each language; Spark cuts each partition to as many before the exchange
+    first = Window.partitionBy("lang").orderBy("h", "t")
+    got = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_lang).orderBy("lang", "place").collect()
     table_, rng = alphabet(), np.random.default_rng(1)
     m, y = [], []
     for r in got:
@@ -173,22 +179,36 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for w in [*full, s[at : at + n]]:
             if (w > 0).any():
                 m.append(np.pad(w, (0, WINDOW - len(w))))
-                y.append(number[r["lang"]])
-    return Network(langs).train(np.array(m), np.array(y))
+                y.append(r["lang"])
+    if not m:
+        return None
+    langs = sorted(set(y))
+    number = {x: i for i, x in enumerate(langs)}
+    return Network(langs).train(np.array(m), np.array([number[x] for x in y]))
+
+
+def runs_of(offsets, rows, run: int = RUN):
+    """(row, first byte, bytes): texts of the rows cut into runs of whole windows."""
+    import numpy as np
+
+    n = np.maximum(1, -(-(offsets[rows + 1] - offsets[rows]) // run))
+    row = np.repeat(rows, n)
+    at = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * run
+    return row, at, np.minimum(run, offsets[row + 1] - at)
 
 
 def predict(rows: DataFrame, net: Network | None, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The id columns, lang_pred and score: one row per input row.
+    """The id columns, lang_pred and score: one row per input row, repeated rows too.
 
     A text that is null or has no letter gets `und` and score 0, as does every text if nothing was learnt. Long texts
-    are covered by windows from end to end; ties go to the language first in code point order.
+    are covered by windows from end to end, some of them at a time; ties go to the language first in code point order. An empty table
+    gives no rows; other columns are ignored.
     """
-    ids = [F.col(c) for c in id_cols]
-    has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    has = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False))
     if net is None:
-        return rows.select(*ids, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    src = rows.select(*ids, F.when(has, F.col(text_col)).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
+        return rows.select(*[named(c) for c in id_cols], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    src = rows.select(*[named(c) for c in id_cols], F.when(has, named(text_col)).alias(fresh(id_cols, "text")[0]))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @task
     def run(batches):
@@ -203,26 +223,23 @@ def predict(rows: DataFrame, net: Network | None, text_col: str = "text", id_col
                 n = len(text)
                 offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
                 data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-                lengths = np.diff(offsets)
                 sure = ~np.asarray(text.is_null().to_numpy(zero_copy_only=False), bool)
-                best, score = np.full(n, len(langs) - 1), np.zeros(n)
-                rows_ = np.flatnonzero(sure)
-                # about 4 MB of text at a time, so that long texts don't add up
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(lengths[rows_]) // (4 << 20))) + 1, [len(rows_)]])
+                best, score, total = np.full(n, len(langs) - 1), np.zeros(n), np.zeros((n, len(net.langs)))
+                row, first, size = runs_of(offsets, np.flatnonzero(sure))
+                # about 4 MB at a time
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20))) + 1, [len(row)]])
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    some = rows_[lo:hi]
-                    if not len(some):
+                    if hi == lo:
                         continue
-                    lo_byte, hi_byte = int(offsets[some[0]]), int(offsets[some[-1] + 1])
-                    m, owner = fill(symbol[data[lo_byte:hi_byte]], offsets[some] - lo_byte, lengths[some])
+                    a, z = int(first[lo]), int(first[hi - 1] + size[hi - 1])
+                    m, owner = fill(symbol[data[a:z]], first[lo:hi] - a, size[lo:hi])
                     p = net.probabilities(m, tables)
                     weight = (m > 0).sum(axis=1) + 1e-6
-                    total = np.zeros((len(some), len(net.langs)))
                     for k in range(len(net.langs)):
-                        total[:, k] = np.bincount(owner, p[:, k] * weight, len(some))
-                    total /= total.sum(axis=1, keepdims=True)
-                    best[some] = total.argmax(axis=1)
-                    score[some] = total.max(axis=1)
+                        total[:, k] += np.bincount(row[lo:hi][owner], p[:, k] * weight, n)
+                total[sure] /= total[sure].sum(axis=1, keepdims=True)
+                best[sure] = total[sure].argmax(axis=1)
+                score[sure] = total[sure].max(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs[best], pa.string()), pa.array(np.clip(score, 0, 1))], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)

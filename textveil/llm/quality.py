@@ -1,20 +1,24 @@
 """Document quality by hierarchical empirical Bayes: a document's own evidence, its path's and its host's.
 
 Document evidence: a logistic regression over a few measures of a text (shares of character kinds, repetition of words and
-lines, lengths), fitted on at most SAMPLE labelled rows. Every document then counts with its label, if that may be learnt
+lines, lengths). Every document then counts with its label, if that may be learnt
 from, or else with its probability, and sums of these by host and path are grouped aggregates. Shrinkage:
   host  = (sum + k m) / (n + k), m the mean over all documents, k from the moments of the hosts' means;
   path  = (sum + j host) / (n + j), j likewise from the paths' means within hosts;
 so that sparse sites stay near the prior of the level above. A document's score is its own log odds plus the log odds of
-its path, from which its own part is taken out, less the prior's log odds.
+its path, less the prior's log odds. Its own part is taken out of the sums of path, host and all, so that its label can't
+come back to it by way of its site.
+
+The classifier is fitted on at most SAMPLE labelled ids, one text of each, with at most `most_chars` characters.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textveil.llm.common import bounded_sample, fold, small, table, task, written
+from textveil.llm.common import bounded_sample, fold, lookup, named, table, task, written
 from textveil.llm.toxicity import logistic
 
 SAMPLE = 8000
@@ -50,15 +54,16 @@ def measure(text: str) -> list[float]:
             max(count.values(), default=0) / w, min(30.0, (n - space) / w) / 10, 1 - len(set(lines)) / max(1, len(lines)), math.log1p(len(words)) / 10, int(data[124]) / w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """(weights, means, deviations) of the document classifier, or None without labelled rows of both classes."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_chars: int = SAMPLE_CHARS):
+    """(weights, means, deviations) of the document classifier, or None without labelled rows of both classes. Labels hold an id once; of
+    rows with equal id the smallest text counts."""
     import numpy as np
 
-    ids = bounded_sample(labels.select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("__good")), "__id", SAMPLE)
-    text = F.col(text_col)
-    got = docs.where(text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("__id", "__good", text.alias("t")).collect()
-    got.sort(key=lambda r: (r["__id"], r["t"]))
-    y = np.array([float(r["__good"]) for r in got])
+    ids = bounded_sample(labels.select(named(id_col).alias("id"), (named(label_col) == 1).alias("good")), "id", SAMPLE)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars)).join(F.broadcast(ids), "id")
+    got = rows.groupBy("id", "good").agg(F.min("t").alias("t")).collect()  # no more rows than ids
+    got.sort(key=lambda r: r["id"])
+    y = np.array([float(r["good"]) for r in got])
     if len(set(y.tolist())) < 2:
         return None
     x = np.array([measure(r["t"]) for r in got])
@@ -69,8 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def document_scores(docs: DataFrame, model, keep: list[Column], text_col: str = "text") -> DataFrame:
     """`keep` and p, the classifier's probability from the text alone; null texts count as empty, and without a model p is 0.5."""
-    src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__quality_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", p double"
+    src = docs.select(*keep, F.coalesce(named(text_col), F.lit("")).alias("quality_text"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("p", T.DoubleType())])
 
     @task
     def run(batches):
@@ -99,24 +104,28 @@ def strength(within, between: float, mean: float) -> float:
     return min(STRENGTH[1], max(STRENGTH[0], mean * (1 - mean) / between - 1))
 
 
-def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """Of rows (host, path, e): a row per path with its host's and its own shrunken sums, and the overall mean.
+def _key(c: str) -> Column:
+    """A column as a string that keeps null apart from the empty string."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+
+
+def posteriors(evidence: DataFrame) -> tuple[DataFrame, dict]:
+    """Of rows (host, path, e): a row per path with its own and its host's sums and the host's posterior (host, path, h, p, s, n, hs,
+    hn, host_posterior), and the constants sum, n, mean, k and j.
 
     The three passes aggregate to paths, hosts and one row; strengths come from variances between groups, less what
     counting n documents adds by itself.
     """
-    paths = written(evidence.groupBy("host", "path").agg(F.sum("e").alias("s"), F.count(F.lit(1)).alias("n")), "quality-paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")), "quality-hosts")
+    paths = written(evidence.groupBy("host", "path").agg(F.sum("e").alias("s"), F.count(F.lit(1)).alias("n")).withColumns({"h": _key("host"), "p": _key("path")}), "quality-paths")
+    hosts = written(paths.groupBy("h").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")), "quality-hosts")
     total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
     mean = min(1 - 1e-6, max(1e-6, total["s"] / total["n"])) if total["n"] else 0.5
     noise = mean * (1 - mean)
     between = hosts.where("hn > 1").agg((F.sum(F.col("hn") * ((F.col("hs") / F.col("hn") - mean) ** 2 - noise / F.col("hn"))) / F.sum("hn")).alias("v")).first()["v"]
     k = strength(noise, between, mean)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hs") + k * mean) / (F.col("hn") + k)).alias("host_posterior"))
-    paths = paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    paths = lookup(paths, hosts, ["h"]).withColumn("host_posterior", (F.col("hs") + k * mean) / (F.col("hn") + k))
     inside = paths.where("n > 1").agg((F.sum(F.col("n") * ((F.col("s") / F.col("n") - F.col("host_posterior")) ** 2 - F.col("host_posterior") * (1 - F.col("host_posterior")) / F.col("n"))) / F.sum("n")).alias("v")).first()["v"]
-    j = strength(noise, inside, mean)
-    return paths.withColumn("j", F.lit(j)), mean
+    return paths, {"sum": float(total["s"] or 0.0), "n": int(total["n"] or 0), "mean": mean, "k": k, "j": strength(noise, inside, mean)}
 
 
 def _logit(p: Column) -> Column:
@@ -124,25 +133,28 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = CUT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = CUT, most_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, host, path, p, host_posterior, path_posterior, score, predicted): one row per input row.
 
     `labels` holds the rows to learn from; null labels and ids don't count, and an id with two labels is good if one says so. Null hosts
-    are one host, null paths one path of a host. path_posterior is without the document's own part. Without labels
-    p is 0.5 for all; an empty table gives no rows; other columns are ignored.
+    are one host, null paths one path of a host. Both posteriors are without the document's own part. Null and empty texts and texts
+    of any length are scored; repeated rows each count. Without labels p is 0.5 for all; an empty table gives no rows; other columns are ignored.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias(id_col)).agg(F.max(label_col).alias(label_col))
-    model = fit(docs, known, id_col, text_col, label_col)
-    scored = document_scores(docs, model, [F.col(id_col).alias("doc_id"), host.alias("host"), path.alias("path")], text_col)
-    scored = written(scored, "quality-scores")
-    known = known.select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("double").alias("__label"))
-    evidence = scored.join(small(known), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "host", "path", "p", F.coalesce("__label", "p").alias("e"))
+    known = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull()).groupBy(named(id_col).alias("doc_id")).agg(F.max(named(label_col)).alias("label"))
+    model = fit(docs, known.withColumnsRenamed({"doc_id": id_col, "label": label_col}), id_col, text_col, label_col, most_chars)
+    scored = document_scores(docs, model, [named(id_col).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path")], text_col)
+    known = written(known.select("doc_id", (F.col("label") == 1).cast("double").alias("label")), "quality-labels")
+    evidence = lookup(written(scored, "quality-scores"), known, ["doc_id"], "left").select("doc_id", "host", "path", _key("host").alias("h"), _key("path").alias("q"), "p", F.coalesce("label", "p").alias("e"))
     evidence = written(evidence, "quality-evidence")
-    paths, mean = posteriors(evidence)
-    paths = paths.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "s", "n", "j", "host_posterior")
-    out = evidence.join(small(paths), F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")))
-    out = out.withColumn("path_posterior", (F.col("s") - F.col("e") + F.col("j") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("j")))
-    z = _logit(F.col("p")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
+    paths, c = posteriors(evidence)
+    paths = written(paths.select("h", F.col("p").alias("q"), "s", "n", "hs", "hn"), "quality-posteriors")
+    out = lookup(evidence, paths, ["h", "q"])
+    bounded = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
+    mean = bounded((F.lit(c["sum"]) - F.col("e")) / (c["n"] - 1)) if c["n"] > 1 else F.lit(0.5)
+    out = out.withColumn("mean", mean)
+    out = out.withColumn("host_posterior", (F.col("hs") - F.col("e") + c["k"] * F.col("mean")) / (F.col("hn") - 1 + c["k"]))
+    out = out.withColumn("path_posterior", (F.col("s") - F.col("e") + c["j"] * F.col("host_posterior")) / (F.col("n") - 1 + c["j"]))
+    z = _logit(F.col("p")) + _logit(F.col("path_posterior")) - _logit(F.col("mean"))
     out = out.withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", "host", "path", "p", "host_posterior", "path_posterior", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 

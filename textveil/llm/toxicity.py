@@ -12,19 +12,23 @@ and other texts of the training rows. A text's evidence is that of its strongest
 that length alone adds none; a logistic regression, fitted on the half of the sample that the words were not
 counted on, turns it into a score.
 
-Lexicon and regression take at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows with at most SAMPLE_CHARS characters.
+Lexicon and regression take at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled ids, one text of each, with at most
+`most_chars` characters. Near copies of a training text count once, so that a copied text's own words don't pass for toxic ones.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from heapq import nsmallest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textveil.llm.common import bounded_sample, fold, table, task
+from textveil.llm.common import bounded_sample, fold, fresh, named, table, task
 
 SAMPLE_TOXIC = 3000
 SAMPLE_OTHER = 6000
@@ -193,8 +197,17 @@ def features(word: str):
             yield word[:n]
 
 
+def sketch(words: tuple[str, ...]) -> tuple[int, ...]:
+    """The four least hashes of a text's words: mostly the same for its near copies."""
+    return tuple(nsmallest(4, (zlib.crc32(w.encode("utf-8", "replace")) for w in words)))
+
+
 def lexicon(texts: list[tuple[str, ...]], toxic: list[bool]) -> dict[str, float]:
-    """Strength of each feature: log odds between the classes less one standard error; the LEXICON strongest above 0.5."""
+    """Strength of each feature: log odds between the classes less one standard error; the LEXICON strongest above 0.5. Near copies count once."""
+    one = {}
+    for words, t in zip(texts, toxic, strict=True):
+        one.setdefault((t, sketch(words)), words)
+    toxic, texts = [t for t, _ in one], list(one.values())
     a, b = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
         if t:
@@ -287,23 +300,24 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
     return Counter({r["k"]: r["n"] / 1024 for r in got})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from rows of docs that labels covers, characters from all of docs. A doubly labelled id is toxic if one label says so; null labels don't count.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from rows of docs that labels covers, characters from all of docs. A doubly labelled id is toxic if one label says so; null labels
+    don't count; of rows with equal id the smallest text counts.
 
-    Without rows of both classes the score is a constant below the cut.
+    Without rows of both classes the score is a constant below the cut. An empty table gives such a model; other columns are ignored.
     """
     import numpy as np
 
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) == 1).alias("__toxic"))
-    ids = bounded_sample(known.where("__toxic"), "__id", SAMPLE_TOXIC).unionByName(bounded_sample(known.where(~F.col("__toxic")), "__id", SAMPLE_OTHER))
-    text = F.col(text_col)
-    rows = docs.where(text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).join(F.broadcast(ids), F.col(id_col) == F.col("__id"))
-    got = rows.select("__id", "__toxic", text.alias("t"), F.pmod(F.xxhash64("__id", F.lit("half")), F.lit(2)).alias("half")).collect()
-    got.sort(key=lambda r: (r["__id"], r["t"]))
+    known = labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("id")).agg((F.max(named(label_col)) == 1).alias("toxic"))
+    ids = bounded_sample(known.where("toxic"), "id", SAMPLE_TOXIC).unionByName(bounded_sample(known.where(~F.col("toxic")), "id", SAMPLE_OTHER))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars)).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min("t").alias("t"))  # no more rows than ids
+    got = rows.select("id", "toxic", "t", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("half")).collect()
+    got.sort(key=lambda r: r["id"])
     chars = CharModel(tri=trigrams(docs, text_col))
     cache: dict = {}
     texts = [tuple(words_of(r["t"], chars, cache)) for r in got]
-    y = [bool(r["__toxic"]) for r in got]
+    y = [bool(r["toxic"]) for r in got]
     base = 0.5 * (sum(y) + 0.5) / (len(y) + 1) if y else 0.0
     half = [r["half"] for r in got]
     if len(set(y)) < 2 or any(len({t for t, h in zip(y, half, strict=True) if h == k}) < 2 for k in (0, 1)):
@@ -320,15 +334,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: float = CUT) -> DataFrame:
-    """Columns `keep`, toxic_score and toxic_predicted (1 if the score is >= cut): one row per input row.
+    """Columns `keep`, toxic_score and toxic_predicted (1 if the score is >= cut): one row per input row, repeated rows too.
 
-    Null and empty texts score as a text without words. Long texts are scored whole.
+    Null and empty texts score as a text without words. Long texts are scored whole. An empty table gives no rows; columns not in
+    `keep` are ignored. If a kept column has the name of one of the two added, the added one's name is lengthened by underscores.
     """
     # a kept text travels once; else it goes last under a name of its own
     own = text_col not in keep
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(text_col).alias("__toxicity_text")] if own else []))
+    added, text = fresh(keep, "toxic_score", "toxic_predicted"), fresh(keep, "toxic_text")
+    src = docs.select(*[named(c) for c in keep], *([named(text_col).alias(text[0])] if own else []))
     at, kept = (len(keep), len(keep)) if own else (keep.index(text_col), len(keep))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:kept]) + ", toxic_score double, toxic_predicted int"
+    schema = T.StructType([*src.schema.fields[:kept], T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())])
 
     @task
     def run(batches):
@@ -341,7 +357,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
             texts = (t for lo in range(0, batch.num_rows, 500) for t in batch.column(at).slice(lo, 500).to_pylist())
             out = [model.score(words_of(t or "", model.chars, restored), strength) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(out, pa.float64()), pa.array([int(s >= cut) for s in out], pa.int32())],
-                                             names=[*batch.schema.names[:kept], "toxic_score", "toxic_predicted"])
+                                             names=[*batch.schema.names[:kept], *added])
 
     return src.mapInArrow(run, schema)
 
@@ -353,8 +369,8 @@ def fitted(spark, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows predicted toxic."""
-    return score(docs, model, text_col, tuple(docs.columns)).where("toxic_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows predicted toxic, which repeated rows are together; null and empty texts stay, columns of any name pass through."""
+    return score(docs, model, text_col, tuple(docs.columns)).where(named(fresh(docs.columns, "toxic_score", "toxic_predicted")[1]) == 0).select(*[named(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
