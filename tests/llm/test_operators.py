@@ -91,6 +91,59 @@ def test_components(spark):
     assert common.components(df.limit(0), "t").collect() == []
 
 
+def test_components_of_a_star_are_not_one_task_s(spark, monkeypatch):
+    """A centre of 100,000 edges, whose neighbours' other edges lead on; nothing fits a broadcast, so lookups meet the hot centre."""
+    n = 100_000
+    df = spark.range(1, n + 1).selectExpr("id + 10 as a", "10L as b").unionByName(spark.range(1, 200).selectExpr("id + 10 as a", "id + 1000000 as b")).unionByName(spark.createDataFrame([(10, 3)], "a long, b long"))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(common.fits, "__defaults__", (1000, 1 << 20))
+    seen, whole = [], common.written
+
+    def watched(frame, name):
+        if name == "hot-keys":
+            seen.append(frame.collect())
+        return whole(frame, name)
+
+    monkeypatch.setattr(common, "written", watched)
+    got = common.components(df, "t")
+    assert got.count() == n + 200 and got.where("root <> 3").count() == 0
+    assert any(seen)
+
+
+def test_lookup_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common.fits, "__defaults__", (3, 1 << 20))
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(k, k) for k in range(2, 40)] + [(None, -1)], "k long, x long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(0, 30)], "k long, y string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = left.join(right, ["k"], how).collect()
+        assert sorted(map(str, common.lookup(left, right, ["k"], how).collect())) == sorted(map(str, want))
+
+
+def test_sides_are_measured_in_bytes(spark):
+    assert common.fits(spark.range(1000)) and not common.fits(spark.range(1000), rows=999)
+    long = spark.range(100).selectExpr("repeat('x', 1000) as t", "array('y', repeat('z', 1000)) as a")
+    assert common.fits(long, size=300_000) and not common.fits(long, size=150_000)
+    assert common.fresh(["a", "B", "b_"], "A", "b", "c") == ["A_", "b__", "c"]
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
+
+
 # --- vectors
 
 def vectors(seed, n=400, d=16):
@@ -156,6 +209,7 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hit >= 0.9 * total
     assert set(got) == {i for i in usable if i % 20 == 0}
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    assert ann.walk(np.array([1.0, 0.0]), np.array([0.5, 0.2, 0.0]), np.array([[1, 1, 1], [1, 1, 1]]), 3).tolist() == [[7], [0]]
     few = ann.neighbours(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
@@ -263,12 +317,25 @@ def test_texts_of_many_spans_take_time_in_proportion(spark):
 # --- toxicity, language, quality
 
 def test_toxicity(spark, sf_dir):
+    """All held-out rows. Labels are wrong for some: toxic documents without an insult, as most of those of quality 0 are; of
+    those that hold one all but a few are found."""
     d = sf_dir.replace("sf0.001", "sf0.1")
-    got = toxicity.query(spark, d).join(common.table(spark, d, "labels"), "doc_id").where("held_out and quality = 1").collect()
-    hits = [r["predicted"] == r["toxic"] for r in got]
-    assert sum(hits) > 0.98 * len(hits)
-    clean = [r["predicted"] for r in got if not r["toxic"]]
-    assert sum(clean) < 0.02 * len(clean)
+    docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
+    model = toxicity.fitted(spark, docs, d)
+    got = toxicity.query(spark, d).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
+    assert len(got) > 1200 and sum(r["predicted"] for r in clean) < 0.01 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.88 * len(toxic)
+    sure = {f for f, v in model.lex.items() if f.startswith("=") and v > 5}
+    insulting = [r for r in toxic if any("=" + w in sure for w in toxicity.words_of(r["text"], model.chars, {}))]
+    assert len(insulting) > 0.85 * len(toxic) and sum(r["predicted"] for r in insulting) >= 0.98 * len(insulting)
+
+
+def test_near_copies_of_a_text_count_once():
+    clean = [tuple(f"plain{i} word{j}".split()) + ("shared", "and", "more", "words") for i in range(40) for j in range(2)]
+    copied = [("idiot", "own", "words", "of", "this", "text", f"x{i}") for i in range(30)]
+    apart = [("idiot", f"a{i}", f"b{i}", f"c{i}", f"d{i}") for i in range(20)]
+    lex = toxicity.lexicon(clean + copied + apart, [False] * len(clean) + [True] * 50)
+    assert lex["=idiot"] > 1 and len(toxicity.sketch(copied[0])) == 4 and lex.get("=own", 0) < lex["=idiot"]
 
 
 def test_restoration(spark, sf_dir):
@@ -319,6 +386,22 @@ def test_language(spark, sf_dir):
     assert langid.predict(odd.drop("score").limit(0), net).collect() == []
 
 
+def test_many_languages_and_runs_of_long_texts(spark, monkeypatch):
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 30} text {i % 300}", f"l{i % 300:03}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(df, per_lang=2)
+    assert len(net.langs) == 300 and len(langid.fit(df, per_lang=2, most_langs=7).langs) == 7
+    net = langid.fit(df.where("doc_id < 6"), per_lang=5)
+    long = spark.createDataFrame([(1, None), (2, "漢字 kana " * 3000), (3, "x"), (4, "丁" * 9000 + " end"), (5, "")], "doc_id long, text string")
+    whole = sorted(map(str, langid.predict(long, net).collect()))
+    monkeypatch.setattr(langid.runs_of, "__defaults__", (1024,))
+    row, first, size = langid.runs_of(np.array([0, 5, 5000, 5000]), np.array([0, 1, 2]))
+    assert row.tolist() == [0, 1, 1, 1, 1, 1, 2] and first.tolist() == [0, 5, 1029, 2053, 3077, 4101, 5000] and size.sum() == 5000
+    odd = spark.createDataFrame([(1, "a" + "1" * 5000, "en")] * 3, "doc_id long, text string, lang string")
+    assert langid.fit(odd) is None or langid.fit(odd).langs == ["en"]
+    assert len(whole) == 5
+
+
 def test_windows_cover_whole_texts():
     symbol = langid.alphabet()
     texts = [b"a" * 700, b"", b"xyz", b"b" * 256]
@@ -347,13 +430,43 @@ def test_quality(spark, sf_dir):
 
 def test_sparse_sites_shrink_to_the_prior(spark):
     rows = [("big", "big/a", 1.0)] * 200 + [("bad", "bad/a", 0.0)] * 200 + [("one", "one/a", 0.0)]
-    paths, mean = quality.posteriors(spark.createDataFrame(rows, "host string, path string, e double"))
+    paths, c = quality.posteriors(spark.createDataFrame(rows, "host string, path string, e double"))
     got = {r["host"]: r["host_posterior"] for r in paths.collect()}
-    assert got["big"] > 0.95 and got["bad"] < 0.05 and 0.1 < got["one"] < mean
+    assert got["big"] > 0.95 and got["bad"] < 0.05 and 0.1 < got["one"] < c["mean"]
     host, path = quality.site(F.lit("https://User@Ex.com:80/a/b?c"))
     assert tuple(spark.range(1).select(host, path).first()) == ("ex.com", "ex.com/a")
 
 
+def test_a_label_does_not_come_back_by_its_site(spark):
+    """Forty hosts of one document, equal texts, alternating labels: scores are equal, whatever a document's own label is."""
+    docs = spark.createDataFrame([(i, "the same words everywhere", f"h{i}") for i in range(40)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scores = [r["score"] for r in quality.classify(docs, labels, F.col("source"), F.col("source")).collect()]
+    assert max(scores) - min(scores) < 1e-9
+
+
+def test_posteriors_are_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice("abc"), rng.choice("xyz")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, rng.randint(0, 1)) for i in range(0, 120, 2)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect()}
+    e = {r["doc_id"]: known.get(r["doc_id"], r["p"]) for r in got}
+    paths, c = quality.posteriors(spark.createDataFrame([(r["host"], r["path"], e[r["doc_id"]]) for r in got], "host string, path string, e double"))
+    for r in got:
+        others = [x for x in got if x["doc_id"] != r["doc_id"]]
+        of = lambda rows_: (sum(e[x["doc_id"]] for x in rows_), len(rows_))
+        mean = of(others)[0] / len(others)
+        hs, hn = of([x for x in others if x["host"] == r["host"]])
+        ps, pn = of([x for x in others if x["path"] == r["path"]])
+        host = (hs + c["k"] * mean) / (hn + c["k"])
+        path = (ps + c["j"] * host) / (pn + c["j"])
+        logit = lambda p: np.log(p / (1 - p))
+        assert abs(r["host_posterior"] - host) < 1e-9 and abs(r["path_posterior"] - path) < 1e-9
+        assert abs(logit(r["score"]) - (logit(r["p"]) + logit(path) - logit(mean))) < 1e-6
+
+
 # --- mixing
 
 def test_mix_meets_targets(spark):
@@ -367,13 +480,19 @@ def test_mix_meets_targets(spark):
         x = by[r["source"]]
         x[0] += r["taken"]
         x[1], x[2] = r["target"], r["source_size"]
-    assert all(abs(t - want) <= 401 and want <= 3 * size + 1e-6 for t, want, size in by.values())
+    assert all(abs(t - want) <= 0.002 * want and want <= 3 * size + 1e-6 for t, want, size in by.values())
     assert abs(sum(x[1] for x in by.values()) - sum(x[2] for x in by.values())) < 1e-3
-    assert sorted(map(tuple, mixing.mix(df.repartition(3)).collect())) == sorted(map(tuple, got)) if None not in by else True
+    assert sorted(map(str, mixing.mix(df.repartition(3)).collect())) == sorted(map(str, got))
     taken = collections.Counter(r["doc_id"] for r in mixing.take(df).collect())
     assert taken == collections.Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_mix_is_near_all_targets(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.1")
+    got = mixing.mix(common.table(spark, d, "documents")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 20 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in got)
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "c d", "x"), (None, "e", None), (2, None, "y"), (3, "", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -398,6 +517,24 @@ def test_pieces_are_the_library_s():
     assert all(codec.decode(x) == t for x, t in zip(got, texts, strict=True) if "▁" not in t)
 
 
+def test_long_runs_without_spaces_are_the_library_s():
+    import time
+
+    spm = pytest.importorskip("sentencepiece")
+    data = sentencepiece.model_bytes()
+    library, codec = spm.SentencePieceProcessor(model_proto=data), sentencepiece.Codec(sentencepiece.Model(data))
+    rng = random.Random(6)
+    some = ["".join(chr(rng.randint(a, z)) for _ in range(20_000)) for a, z in ((0x4E00, 0x9FA5), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x61, 0x7A))]
+    some += ["的一是不了人我在有他这中大来上国" * 1250, "x" * 20_000, "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(20_000)), ("é漢" * 40 + "theing") * 200]
+    for t in some:
+        want, began = library.encode(t), time.time()
+        got = codec.encode([t])[0].tolist()
+        assert time.time() - began < 0.5 and got == want
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "the", "é", "漢", "😀", "ing", "zz", "1", "\n"]) for _ in range(rng.randint(40, 150)))
+        assert codec.encode([t])[0].tolist() == library.encode(t)
+
+
 def varint(n):
     out = b""
     while n > 127:
@@ -432,10 +569,12 @@ def test_unigram_paths_are_the_best():
         return score[-1]
 
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(3)) for _ in range(200)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(50, 400))) for _ in range(30)]
     for t, ids in zip(texts, codec.encode(texts), strict=True):
         assert "".join(codec.m.pieces[i] for i in ids) == codec.m.normal(t)
         assert abs(sum(codec.scores[i] for i in ids) - best(codec.m.normal(t))) < 1e-4
     assert codec.encode(["aXXb"])[0].tolist().count(0) == 1  # a run of unknown characters is one unknown piece
+    assert codec.encode(["ab" * 30 + "XYZ" * 30 + "b"])[0].tolist().count(0) == 1
 
 
 def test_encode_rows(spark):
@@ -449,25 +588,98 @@ def test_encode_rows(spark):
 
 # --- WARC
 
+def records_in(data):
+    """(headers, block) of a WARC file's bytes."""
+    at = 0
+    while (end := data.find(b"\r\n\r\n", at)) >= 0:
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().strip().split("\r\n")[1:])}
+        n = int(headers["content-length"])
+        yield headers, data[end + 4 : end + 4 + n]
+        at = end + 4 + n + 4
+
+
 def test_warc_round_trip(spark, sf_dir, tmp_path):
     records = warc.query(spark, sf_dir)
     warc.write(records, f"{tmp_path}/w")
-    found = [x for f in sorted((tmp_path / "w").glob("part-*")) for x in warc.parse(f.read_bytes())]
+    found = [x for f in sorted((tmp_path / "w").glob("part-*")) for x in records_in(f.read_bytes())]
     assert len(found) == records.count()
     assert all("sha256:" + hashlib.sha256(b).hexdigest() == h["warc-block-digest"] and len(b) == int(h["content-length"]) for h, b in found)
     ids = {r["record_id"] for r in warc.responses(common.table(spark, sf_dir, "pages")).collect()}
     assert {h["warc-refers-to"] for h, _ in found} == ids
 
 
+def test_plain_text_is_a_parser_s(spark, sf_dir):
+    """Against Python's own parser of markup, which shares nothing with the regular expressions."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        BLOCKS = set("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.out.append("\x02" if tag in self.BLOCKS else "")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "noscript", "template"):
+                self.hidden -= 1
+                self.out.append(" ")
+            self.out.append("\x02" if tag in self.BLOCKS else "")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    def plain(html):
+        p = Plain()
+        p.feed(html)
+        p.close()
+        lines = re.sub("[\x00\x01\x03-\x20\xa0]+", " ", "".join(p.out)).split("\x02")
+        return "\n".join(x.strip(" ") for x in lines if x.strip(" "))
+
+    pages = common.table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages")
+    got = {r["page_id"]: r["block"] for r in warc.derive(warc.responses(pages)).where("warc_type = 'conversion'").collect()}
+    wrong = [(r["page_id"], plain(r["html"]), got[r["page_id"]]) for r in pages.collect() if plain(r["html"] or "") != got[r["page_id"]]]
+    assert len(got) > 100 and not wrong, wrong[:2]
+
+
+def test_references_are_the_library_s(spark):
+    import html
+
+    texts = ["&eacute;&#xe9;&#xE9;&#233; &Aacute; &NotEqualTilde; &amp;lt; &bogus; &#x; &#; &;& &&amp; &#1114112; &#xD800; a&b;c &notin; &Zscr; &CounterClockwiseContourIntegral;", "no", "", "&amp", "&#38;lt;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in df.select("i", warc.unescape(F.col("t")).alias("u")).collect():
+        t = texts[r["i"]]
+        want = re.sub(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", lambda m: m[0] if "D800" in m[0] or "1114112" in m[0] else html.unescape(m[0]), t)
+        assert r["u"] == want, (r["u"], want)
+
+
+def test_two_captures_of_an_address_have_their_own_ids(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x"), (1, "http://a/", "<p>y"), (2, "http://a/", "<p>x"), (2, "http://a/", "<p>x")], "page_id long, url string, html string")
+    out = warc.derive(warc.responses(df)).collect()
+    assert len(out) == 8 and len({r["record_id"] for r in out}) == 6 and len({r["refers_to"] for r in out}) == 3
+
+
 def test_warc_reading_and_odd_pages(spark, tmp_path):
     import gzip
 
     body = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-A: b\r\n\r\n<title>T &amp; U</title><p>a &#8364; &lt;b&gt; &amp;lt; &#x; &bogus;</p><script>x</script><!-- c -->end"
-    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nWARC-Target-URI: http://h/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n") + gzip.compress(record))
-    out = {r["warc_type"]: r for r in warc.derive(warc.read_responses(spark, f"{tmp_path}/a.warc.gz"), keep=()).collect()}
-    assert out["conversion"]["block"] == "T & U\na € <b> &lt; &#x; &bogus;\nend" and out["conversion"]["refers_to"] == "<urn:x:1>" and out["conversion"]["source_payload_digest"] == "sha1:ABC"
+    nested = b"HTTP/1.1 200 OK\r\n\r\nabout\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz"
+    record = lambda i, b: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nWARC-Target-URI: http://h/\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(record(1, body)) + gzip.compress(record(2, nested)))
+    (tmp_path / "b.warc").write_bytes(info + b"".join(record(i, body) for i in range(10, 400)))
+    out = {r["warc_type"]: r for r in warc.derive(warc.read_responses(spark, f"{tmp_path}/a.warc.gz"), keep=()).where("refers_to = '<urn:x:1>'").collect()}
+    assert out["conversion"]["block"] == "T & U\na € <b> &lt; &#x; &bogus;\nend" and out["conversion"]["source_payload_digest"] == "sha1:ABC"
     assert "http-status: 404" in out["metadata"]["block"] and "source-X-A: b" in out["metadata"]["block"] and "title: T & U\r\n" in out["metadata"]["block"]
+    both = warc.read_responses(spark, str(tmp_path)).collect()
+    assert len(both) == 392 and next(r for r in both if r["record_id"] == "<urn:x:2>")["payload"].endswith("Content-Length: 3\r\n\r\nxyz")
     odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>" * 40000)], "page_id long, url string, html string").withColumn("title", F.lit(1))
     assert warc.derive(warc.responses(odd)).where("warc_type = 'conversion' and block = ''").count() == 3
     assert warc.derive(warc.responses(odd.limit(0))).collect() == []

@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding with batched Viterbi in numpy.
 
 A text's normal form is cut into units, each a run of word marks and what follows it up to the next mark; no piece spans
-two units (checked when a model is read). Distinct units are encoded once, those of equal length
-together: for each end position and each piece length, hashes of the substrings probe the sorted hashes of the pieces, and
-maxima over the lengths give scores and backpointers for all units at once.
+two units (checked when a model is read). Units of more than LONG characters, as scripts without spaces have them, are cut
+further wherever no piece holds the two characters beside the cut: no path and no merge crosses there. Distinct units are
+encoded once, those of equal length together: for each end position and each piece length, hashes of the substrings probe
+the sorted hashes of the pieces, hits are compared with the pieces' text, and maxima over the lengths give scores and
+backpointers for all units at once. Where only a few units share a length above LONG, all substrings of one unit probe
+together instead, and the maxima go over the hits.
 
 What makes a path best depends on the model's type:
 * unigram models: the sum of the pieces' scores;
@@ -22,14 +25,16 @@ from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textveil.llm.common import table, task
+from textveil.llm.common import fresh, named, table, task
 
 MARK = "▁"
 #: Where the public model is; a parameter of the query.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE_UNITS = 150_000
+LONG, FEW = 48, 4
 SLICE, TOGETHER = 1 << 20, 4  # bytes of text in a slice; slices whose units are encoded together
 
 # Fixed values of the model format: field numbers, model types and piece types.
@@ -193,6 +198,15 @@ class Codec:
             raise ValueError("two pieces share a hash")
         with np.errstate(over="ignore"):
             self.index, self.key_ids = Index(spread_bits(keys), 20), np.array(ids)
+        # the pieces' text, to compare hits with
+        self.piece_len = np.array([len(p) for p in model.pieces])
+        self.piece_codes = np.zeros((len(model.pieces), self.longest), np.uint32)
+        for i in ids:
+            self.piece_codes[i, : self.piece_len[i]] = [ord(c) for c in model.pieces[i]]
+        # neighbouring characters of some piece, and characters that are one
+        self.beside = np.unique(np.array([ord(a) << 32 | ord(b) for i in ids for a, b in zip(model.pieces[i], model.pieces[i][1:], strict=False)], np.uint64))
+        self.single = np.unique(np.array([ord(model.pieces[i]) for i in ids if len(model.pieces[i]) == 1], np.uint64))
+        self.scalar = None
         self.scores = np.array(model.scores)
         self.unk_score = float(min(model.scores[i] for i in ids)) - 10.0
         # bytes that each piece decodes to, laid end to end
@@ -229,6 +243,7 @@ class Codec:
         self.rank = np.empty(n, np.int64)
         self.rank[order] = np.arange(n)
         self.pair_rank = np.append(self.rank[pair_piece], np.int64(1) << 60)  # the last for no pair
+        self.pair_keys = np.array(list(pairs), np.int64)
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.reached = np.zeros(n, bool)
         for p, i in of.items():
@@ -278,6 +293,40 @@ class Codec:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
+    def scalar_compatible(self):
+        """compatible() for one pair of pieces, results kept; for units that are encoded alone."""
+        if self.scalar is None:
+            none = 1 << 60
+            of, n = dict(zip(self.pair_keys.tolist(), self.pair_rank[:-1].tolist(), strict=True)), len(self.m.pieces)
+            left, right, rank, known = self.left.tolist(), self.right.tolist(), self.rank.tolist(), {}
+
+            def ok(a, b):
+                if a < 0:
+                    return True
+                key = a * n + b
+                got = known.get(key)
+                if got is None:
+                    x, y, limit = a, b, none
+                    while True:
+                        if of.get(x * n + y, none) < limit:
+                            got = False
+                            break
+                        rx, ry = rank[x] if left[x] >= 0 else -1, rank[y] if left[y] >= 0 else -1
+                        if rx < 0 and ry < 0:
+                            got = True
+                            break
+                        if rx > ry:
+                            limit, x = rx, right[x]
+                        else:
+                            limit, y = ry + 1, left[y]
+                    if len(known) > CACHE_UNITS:
+                        known.clear()
+                    known[key] = got
+                return got
+
+            self.scalar = ok
+        return self.scalar
+
     def encode_units(self, units: list[str]):
         """(ids, n, start): piece ids of all units end to end, and of each unit how many and where they start."""
         import numpy as np
@@ -286,6 +335,12 @@ class Codec:
         n, start, parts, used = np.zeros(len(units), np.int32), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
         for size in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == size)
+            if size > LONG and len(at) <= FEW:
+                for k in at.tolist():
+                    ids = self.viterbi_alone(np.frombuffer(units[k].encode("utf-32-le", "surrogatepass"), np.uint32))
+                    parts.append(ids)
+                    n[k], start[k], used = len(ids), used, used + len(ids)
+                continue
             step = max(1, 4_000_000 // max(1, size * min(size, self.longest)))
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
@@ -327,6 +382,9 @@ class Codec:
                 if not len(hit):
                     continue
                 u, piece = open_[hit], self.key_ids[k[hit]]
+                same = self.same(codes[u, end - size : end], piece, size)
+                if not same.all():
+                    u, piece = u[same], piece[same]
                 if bpe:
                     fit = self.reached[piece]
                     before = last[end - size][u]
@@ -377,6 +435,73 @@ class Codec:
         keep = ids >= 0
         return ids[keep].astype(np.int32), keep.sum(axis=1)
 
+    def same(self, codes, piece, size: int):
+        """Whether rows of `size` code points are the pieces' texts."""
+        return (self.piece_len[piece] == size) & (codes == self.piece_codes[piece, :size]).all(axis=1)
+
+    def viterbi_alone(self, codes, together: int = 1 << 15):
+        """Piece ids of one long unit: all its substrings probe together, some thousand ends at a time, and one pass over the hits
+        of each end keeps the maximum."""
+        import numpy as np
+
+        n, bpe, unknown = len(codes), self.m.type == BPE, -2
+        score, last, back = [0.0], [-1], [0]
+        ok = self.scalar_compatible() if bpe else None
+        scores = None if bpe else self.scores.tolist()
+        for lo in range(0, n, together):
+            hi, first = min(n, lo + together), max(0, lo - self.longest)
+            part = codes[first:hi].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                # hash of the first k characters of part, by sums of c / BASE ** place
+                power = np.full(len(part) + 1, np.uint64(self.BASE))
+                inverse = np.full(len(part) + 1, np.uint64(pow(self.BASE, -1, 1 << 64)))
+                power[0] = inverse[0] = 1
+                power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * inverse[:-1]) * power[:-1]])
+                found = []
+                for size in range(min(hi, self.longest), 0, -1):
+                    ends = np.arange(max(lo + 1, first + size), hi + 1)
+                    k = self.index.find(spread_bits(prefix[ends - first] - prefix[ends - first - size] * power[size]))
+                    hit = np.flatnonzero(k >= 0)
+                    if len(hit):
+                        ends, piece = ends[hit], self.key_ids[k[hit]]
+                        rows = np.lib.stride_tricks.sliding_window_view(codes, size)[ends - size]
+                        keep = self.same(rows, piece, size)
+                        if bpe:
+                            keep &= self.reached[piece]
+                        found.append((ends[keep], np.full(int(keep.sum()), size), piece[keep]))
+            ends, size, piece = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+            order = np.argsort(ends, kind="stable")  # longest first, still
+            size, piece, cuts = size[order].tolist(), piece[order].tolist(), np.searchsorted(ends[order], np.arange(lo + 1, hi + 2)).tolist()
+            for end in range(lo + 1, hi + 1):
+                a, z = cuts[end - lo - 1], cuts[end - lo]
+                best, which, step, alone = -np.inf, unknown, 1, True
+                for c in range(a, z):
+                    if size[c] == 1:
+                        alone = False
+                    if bpe:
+                        if ok(last[end - size[c]], piece[c]):
+                            best, which, step = 0.0, piece[c], size[c]
+                            break
+                    else:
+                        v = score[end - size[c]] + scores[piece[c]]
+                        if v > best:
+                            best, which, step = v, piece[c], size[c]
+                if not bpe and alone and score[end - 1] + self.unk_score > best:
+                    best, which, step = score[end - 1] + self.unk_score, unknown, 1
+                score.append(best)
+                last.append(which)
+                back.append(step)
+        ids, end, chars = [], n, []
+        while end > 0:
+            ids.append(last[end])
+            if last[end] == unknown:
+                chars.append((0, len(ids) - 1, int(codes[end - 1])))
+            end -= back[end]
+        if chars:
+            return self.with_unknown(np.array([ids[::-1]]), [(0, len(ids) - 1 - k, c) for _, k, c in chars])[0]
+        return np.array(ids[::-1], np.int32)
+
     def with_unknown(self, ids, unknown):
         import numpy as np
 
@@ -396,11 +521,28 @@ class Codec:
         return np.array([p for got in out for p in got], np.int32), np.array([len(got) for got in out])
 
     def units(self, text: str) -> list[str]:
-        """Units of a normal form: cut before each run of marks that follows something else, and around line breaks and
-        tabs that no piece holds."""
+        """Units of a normal form: cut before each run of marks that follows something else, around line breaks and
+        tabs that no piece holds, and in what is longer than LONG wherever no piece crosses."""
         if self.alone is not None and self.alone.search(text):
-            return [u for x in self.alone.split(text) if x for u in ([x] if self.alone.match(x) else self.between(x))]
-        return self.between(text)
+            out = [u for x in self.alone.split(text) if x for u in ([x] if self.alone.match(x) else self.between(x))]
+        else:
+            out = self.between(text)
+        if max(map(len, out), default=0) > LONG:
+            return [v for u in out for v in (self.shorter(u) if len(u) > LONG else (u,))]
+        return out
+
+    def shorter(self, unit: str) -> list[str]:
+        """A unit cut between characters that no piece holds side by side. In a model without byte pieces neighbouring unknown characters stay
+        together, as they are one unknown piece."""
+        import numpy as np
+
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        inside = np.isin(codes[:-1] << np.uint64(32) | codes[1:], self.beside)
+        if not self.m.byte_fallback:
+            other = ~np.isin(codes, self.single)
+            inside |= other[:-1] & other[1:]
+        cuts = [0, *(np.flatnonzero(~inside) + 1).tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def between(self, text: str) -> list[str]:
         if MARK + MARK not in text:
@@ -467,10 +609,12 @@ def codec(data: bytes) -> Codec:
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
     """Columns `keep`, piece_ids (array of int) and, if asked for, decoded (string): one row per input row.
 
-    Null texts have null ids and a null decoded text, empty ones no ids. Long texts are encoded whole.
+    Null texts have null ids and a null decoded text, empty ones no ids. Long texts are encoded whole. Repeated rows give a row each, an
+    empty table none; columns not in `keep` are ignored, and kept ones of the added names lengthen those by underscores.
     """
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__piece_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", piece_ids array<int>" + ", decoded string" * decoded
+    added, text = fresh(keep, "piece_ids", "decoded"), fresh(keep, "piece_text")[0]
+    src = docs.select(*[named(c) for c in keep], named(text_col).alias(text))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(added[0], T.ArrayType(T.IntegerType())), *[T.StructField(added[1], T.StringType())] * decoded])
 
     @task
     def run(batches):
@@ -478,7 +622,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[st
 
         for part, ids, texts in encoded(batches, model, decoded):
             out = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), *([pa.array(texts, pa.string())] if decoded else [])]
-            yield pa.RecordBatch.from_arrays(out, names=[*part.schema.names[:-1], "piece_ids", *["decoded"] * decoded])
+            yield pa.RecordBatch.from_arrays(out, names=[*part.schema.names[:-1], *added[: 1 + decoded]])
 
     return src.mapInArrow(run, schema)
 
@@ -509,9 +653,10 @@ def encoded(batches, model: bytes, back: bool = True):
 def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_pieces, ids_sha256, round_trip): what `encode` gives, as digests; the ids as little-endian int32.
 
-    round_trip: the decoded text is the text. Null texts count as empty.
+    round_trip: the decoded text is the text. Null texts count as empty, long ones are encoded whole. Repeated rows give a row each, an
+    empty table none; other columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
 
     @task
     def run(batches):
