@@ -325,8 +325,8 @@ def test_toxicity(spark, sf_dir):
     got = toxicity.query(spark, d).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").where("held_out").collect()
     toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
     assert len(got) > 1200 and sum(r["predicted"] for r in clean) < 0.01 * len(clean) and sum(r["predicted"] for r in toxic) >= 0.88 * len(toxic)
-    sure = {f for f, v in model.lex.items() if f.startswith("=") and v > 5}
-    insulting = [r for r in toxic if any("=" + w in sure for w in toxicity.words_of(r["text"], model.chars, {}))]
+    sure = {f for f, v in model.lex.items() if v > 5}
+    insulting = [r for r in toxic if any(f in sure for w in toxicity.words_of(r["text"], model.chars, {}) for f in toxicity.features(w))]
     assert len(insulting) > 0.85 * len(toxic) and sum(r["predicted"] for r in insulting) >= 0.98 * len(insulting)
 
 
