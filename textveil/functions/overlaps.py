@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textveil.functions.catalog import CANDIDATES, none_of, priority, source_priority
+from textveil.functions.catalog import CANDIDATE, CANDIDATES, none_of, priority, source_priority
 
 
 def numbered(candidates: Column) -> Column:
     """Candidates with ord set to their place in the array."""
-    return F.transform(candidates, lambda c, i: c.withField("ord", i))
+    return F.transform(candidates, lambda c, i: F.struct(*[c[x].alias(x) for x in ("category", "start", "end", "value", "source", "selected")], i.alias("ord")).cast(CANDIDATE))
 
 
 def choose(items: Column, rank: list, kind: str) -> Column:

@@ -1,12 +1,15 @@
-"""SQL access: temporary views over a table with its findings and masked texts."""
+"""SQL access: functions on texts, and temporary views over a table with its findings and masked texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.operators.detect import detect, exploded
-from textveil.operators.masking import mapping, mask
+from textveil.functions.overlaps import resolve
+from textveil.functions.spans import let
+from textveil.functions.sqltext import sql_text
+from textveil.operators.detect import candidates, detect, exploded
+from textveil.operators.masking import mapping, mask, replacements, rewrite
 from textveil.operators.recovery import restore_text
 
 
@@ -30,3 +33,23 @@ def create_restored_view(spark: SparkSession, source: str, view: str, text_col:
     out = spark.table(source).withColumn("__r", r).select("*", F.col("__r.text").alias("restored"), F.col("__r.restored_count"), F.col("__r.unknown_count")).drop("__r")
     out.createOrReplaceTempView(view)
     return out
+
+
+def register_functions(spark: SparkSession, dictionary: list[tuple] = (), defaults: dict[str, bool] | None = None) -> list[str]:
+    """SQL functions of the session: find_sensitive(text), mask_text(text), mask_mapping(text) and restore_text(text, mapping).
+
+    Their bodies are the library's expressions, which Spark inlines into the query: no Python runs, and nothing is shuffled. A null text
+    has no findings and stays null. Names, entities of recognisers and large dictionaries need `detect`. Returns the functions' names.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = let(text, lambda t: let(resolve(candidates(t, dictionary, defaults)), lambda f: replacements(t, f)))
+    places = F.transform(found, lambda f: F.struct(f["category"].alias("category"), f["start"].alias("start"), f["end"].alias("end"), f["value"].alias("value"), f["replacement"].alias("replacement")))
+    bodies = {
+        "find_sensitive": ("text STRING", "ARRAY<STRUCT<category: STRING, start: INT, end: INT, value: STRING, replacement: STRING>>", places),
+        "mask_text": ("text STRING", "STRING", F.when(F.col("text").isNotNull(), let(found, lambda f: rewrite(text, f)))),
+        "mask_mapping": ("text STRING", "MAP<STRING, STRING>", let(found, mapping)),
+        "restore_text": ("text STRING, names MAP<STRING, STRING>", "STRING", F.when(F.col("text").isNotNull(), restore_text(text, F.col("names"))["text"])),
+    }
+    for name, (arguments, kind, body) in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {sql_text(body)}")
+    return list(bodies)
