@@ -18,6 +18,8 @@ from textveil.functions.spans import find_all, once
 
 #: Dictionary terms that one plan's expressions hold; larger dictionaries are matched by `dictionary_udf`.
 INLINE_TERMS = 64
+#: Terms that travel with the function at most.
+MOST_TERMS = 1_000_000
 
 
 def term_pattern(term: str) -> str:
@@ -59,9 +61,12 @@ def _proposed(spans: Column, category: Column, chosen: Column) -> Column:
 def dictionary_udf(terms: list[tuple]):
     """Arrow function for large dictionaries: per text, the occurrences of each term, in the terms' order.
 
-    One pass over a text looks up the folded strings of each term length at every place, so the work follows the
-    text and the number of distinct term lengths rather than the number of terms.
+    One pass over a text looks up the two folded characters at every place; only where some term begins so are its lengths looked
+    up. So the work follows the text rather than the number of terms, of which MOST_TERMS are taken at most: they travel
+    with the function.
     """
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
     kind = "array<struct<category:string,start:int,end:int,value:string,selected:boolean>>"
 
     @F.pandas_udf(kind)
@@ -70,7 +75,10 @@ def dictionary_udf(terms: list[tuple]):
         by_text: dict[str, list[int]] = {}
         for i, (term, _, _) in enumerate(terms):
             by_text.setdefault(term.lower(), []).append(i)
-        lengths = sorted({len(t) for t in by_text})
+        heads: dict[str, list[int]] = {}
+        for t in by_text:
+            heads.setdefault(t[:2], []).append(len(t))
+        heads = {h: sorted(set(n)) for h, n in heads.items()}
         word = re.compile(r"[A-Za-z0-9_]")
         plain = [re.fullmatch(r"[A-Za-z0-9_]+", t) is not None for t, _, _ in terms]
 
@@ -81,6 +89,8 @@ def dictionary_udf(terms: list[tuple]):
             until: dict[int, int] = {}
             found = []
             for at in range(len(low)):
+                pair = low[at : at + 2]
+                lengths = (*heads.get(pair[:1], ()), *(heads.get(pair, ()) if len(pair) == 2 else ()))
                 for n in lengths:
                     for i in by_text.get(low[at : at + n], ()) if at + n <= len(low) else ():
                         if at < until.get(i, 0):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from textveil.operators.detect import exploded
 from textveil.plans.common import table
 from textveil.plans.documents import FINDINGS, PLANS as DOCUMENT_PLANS
+from textveil.sources.io import shared_folder
 from textveil.streaming import stream
 
 
@@ -21,8 +21,7 @@ def _stream(spark, sf_dir, name) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return stream.run_once(df, f"{folder.rstrip('/')}/textveil/stream-{uuid.uuid4().hex}", mode)
+    return stream.run_once(df, f"{shared_folder(df.sparkSession)}/textveil/stream-{uuid.uuid4().hex}", mode)
 
 
 def stream_mask(spark, sf_dir):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +91,52 @@ def write_masked(masked: DataFrame, mapping: DataFrame, text_path: str, mapping_
     return True
 
 
+def write_restored(restored: DataFrame, path: str, keys: list[str], text_col: str = "restored", fmt: str = "parquet", mode: str = "errorifexists", **options) -> None:
+    """Write texts with their originals put back, to the place that the caller names and nowhere else: keys and text only, no mapping. An
+    existing target is an error unless mode says otherwise."""
+    if not path:
+        raise ValueError("restored texts are only written to a path that is given")
+    restored.select(*keys, text_col).write.format(fmt).mode(mode).options(**options).save(path)
+
+
 def save_settings(df: DataFrame, path: str) -> None:
-    """Replace a settings table; Spark's committer moves files into place only when all are written."""
-    df.write.mode("overwrite").json(path)
+    """Replace a settings table. It is written beside the target first; only when it is complete does it take the target's name, and the old
+    one is kept until then. A failed write leaves the old table as it was."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.json(new)
+        had = files.exists(target)
+        if had and not files.rename(target, hadoop(old)):
+            raise OSError(f"{path} could not be set aside")
+        if not files.rename(hadoop(new), target):
+            if had:
+                files.rename(hadoop(old), target)
+            raise OSError(f"{path} could not be replaced")
+        if had:
+            files.delete(hadoop(old), True)
+    finally:
+        files.delete(hadoop(new), True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share: spark.checkpoint.dir. Only a local master may do without, and gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "textveil")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: what several results use is computed once, and survives the loss of executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()

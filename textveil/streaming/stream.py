@@ -83,9 +83,10 @@ def live_mappings(df: DataFrame, ttl: int = TTL_SECONDS, late: str = "1 minute")
     return df.withWatermark("ts", late).groupBy("session").applyInPandasWithState(run, LIVE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def newest_generation(df: DataFrame, key: str, late: str = "10 minutes", ts_col: str = "ts") -> DataFrame:
-    """Greatest generation per key and event, as a streaming aggregate (update mode)."""
-    return df.withWatermark(ts_col, late).groupBy(key).agg(F.max("generation").alias("generation"), F.max_by("payload", "generation").alias("payload"))
+def newest_generation(df: DataFrame, key: str) -> DataFrame:
+    """Greatest generation per key and its payload, as a streaming aggregate for update or complete mode. State holds one row per
+    key for good, as any later event may ask for it; where mappings expire, live_mappings frees theirs."""
+    return df.groupBy(key).agg(F.max("generation").alias("generation"), F.max_by("payload", "generation").alias("payload"))
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
