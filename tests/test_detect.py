@@ -76,3 +76,17 @@ def test_dictionary_forms_agree(spark, n):
     if n == 100:
         assert got[1] == [("PERSON", 3, "ab_1"), ("ORG", 24, "zz11"), ("ID", 12, "B C"), ("ID", 16, "b c"), ("ORG", 20, "zz1"), ("ORG", 0, "AB")]
     assert got[2] == [] and got[3] == []
+
+
+IPV6 = [
+    ("IPv6：2001:db8:85a3::8a2e:370:7334", "2001:db8:85a3::8a2e:370:7334"), ("::1 and 1::", "::1"), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8"), ("1:2:3:4:5:6:7:8:9", None),
+    ("1::2::3", None), ("12345::1", None), (":1::2", None), ("12:30", None), ("fe80::1.", "fe80::1"), ("1::2:3:4:5:6:7:8", None), ("foo::bar", "::ba"), (":::", None), ("::", "::"), ("😀 a::1 ß", "a::1"),
+]
+
+
+def test_ipv6(spark):
+    from textveil.functions.rules import BY_NAME
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(IPV6)], "i long, t string")
+    got = {r["i"]: [s["value"] for s in r["s"]] for r in df.select("i", BY_NAME["ipv6"].spans(F.col("t")).alias("s")).collect()}
+    assert got == {i: [*([v] if v else []), *(["1::"] if i == 1 else [])] for i, (_, v) in enumerate(IPV6)}

@@ -119,3 +119,103 @@ def test_views_for_sql(spark):
     spark.sql("SELECT id, masked || ' <IP_9>' AS text, mapping FROM masked_notes").createOrReplaceTempView("replies")
     api.create_restored_view(spark, "replies", "back")
     assert [tuple(r) for r in spark.sql("SELECT id, restored, restored_count, unknown_count FROM back ORDER BY id").collect()] == [(1, "mail A@B.com or A@B.com <IP_9>", 2, 1), (2, "none <IP_9>", 0, 1)]
+
+
+def test_sql_functions(spark):
+    from textveil import api
+
+    api.register_functions(spark, dictionary=[("Acme", "ORG")])
+    spark.createDataFrame([(1, "mail a@b.com or A@B.com, password: x1 Acme"), (2, None), (3, "none <EMAIL_1> b@c.org"), (4, "")], "id long, text string").createOrReplaceTempView("notes2")
+    out = spark.sql("SELECT id, mask_text(text) AS m, find_sensitive(text).category AS k, restore_text(mask_text(text), mask_mapping(text)) AS r FROM notes2 ORDER BY id")
+    assert [tuple(r) for r in out.collect()] == [(1, "mail <EMAIL_1> or <EMAIL_1>, password: <PASSWORD_1> <ORG_1>", ["EMAIL", "EMAIL", "PASSWORD", "ORG"], "mail A@B.com or A@B.com, password: x1 Acme"),
+                                               (2, None, [], None), (3, "none <EMAIL_1> <EMAIL_2>", ["EMAIL"], "none <EMAIL_1> b@c.org"), (4, "", [], "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_functions_are_detection(spark, sf_dir):
+    from textveil import api
+
+    api.register_functions(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.createOrReplaceTempView("all_docs")
+    want = masking.mask(detect(docs)).select("doc_id", "masked")
+    assert spark.sql("SELECT doc_id, mask_text(text) AS masked FROM all_docs").exceptAll(want).count() == 0
+
+
+def test_settings_are_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = f"{tmp_path}/settings"
+    for value in ("a", "b"):
+        io.save_settings(spark.createDataFrame([(value,)], "hotkey string"), path)
+        assert [r["hotkey"] for r in spark.read.json(path).collect()] == [value]
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).alias("hotkey"))
+    with pytest.raises(Exception, match="no"):
+        io.save_settings(bad, path)
+    assert [r["hotkey"] for r in spark.read.json(path).collect()] == ["b"] and [p.name for p in tmp_path.iterdir()] == ["settings"]
+
+
+def test_restored_texts_go_where_they_are_told(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a@b.com", "secret")], "id long, restored string, mapping string")
+    io.write_restored(df, f"{tmp_path}/out", ["id"])
+    assert spark.read.parquet(f"{tmp_path}/out").columns == ["id", "restored"]
+    with pytest.raises(Exception):
+        io.write_restored(df, f"{tmp_path}/out", ["id"])
+    with pytest.raises(ValueError):
+        io.write_restored(df, "", ["id"])
+
+
+def test_a_text_that_fails_or_takes_too_long_is_alone(spark):
+    def loader():
+        import time
+
+        class Model:
+            def recognize(self, text):
+                if text == "bad":
+                    raise ValueError("bad text")
+                if text == "slow":
+                    time.sleep(5)
+                return [{"category": "PERSON", "start": 0, "end": 1, "text": text[:1], "confidence": 0.9}]
+
+        return Model()
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "bad", "b", "slow", "c", None])], "id long, text string").coalesce(1)
+    got = {r["text"]: (len(r["entities"]), r["error"]) for r in recognise.recognise(df, loader, "timed", timeout=0.5).collect()}
+    assert got == {"a": (1, None), "b": (1, None), "c": (1, None), None: (0, None), "bad": (0, "ValueError: bad text"), "slow": (0, "TimeoutError: more than 0.5 s")}
+    service = recognise.Service(loader, timeout=0.01)
+    for _ in range(recognise.Service.MOST_STUCK):
+        assert service.state != recognise.FAILED and service.attempt("slow")[1].startswith("TimeoutError")
+    assert service.state == recognise.FAILED
+
+
+def test_pieces():
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "the", "un", "##read", "##s", "tea", ";", "山", "水", "?"])}
+    of = lambda t: [(p[0], p[1], p[2]) for p in ((x["piece"], x["start"], x["end"]) for x in tokenize.tokens_udf(vocab).func(__import__("pandas").Series([t]))[0])]
+    assert of("Thé; UNREADS?") == [("the", 0, 3), (";", 3, 4), ("un", 5, 7), ("##read", 7, 11), ("##s", 11, 12), ("?", 12, 13)]
+    assert of("山水tea\x00qq") == [("山", 0, 1), ("水", 1, 2), ("[UNK]", 2, 8)] and of("") == [] and of("y" * 101) == [("[UNK]", 0, 101)]
+
+
+def test_offsets_of_many_matches(spark):
+    import re
+
+    from textveil.functions import spans
+
+    for t in ["", "12", "x" * 10, "9 " * 3000, "12345 a " * 40_000]:
+        r = spark.createDataFrame([(t,)], "t string").select(spans.find_all(F.col("t"), "[0-9]+").alias("s")).first()
+        assert [(s["start"], s["end"]) for s in r["s"]] == [m.span() for m in re.finditer("[0-9]+", t)]
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError):
+        io.shared_folder(Session())

@@ -17,8 +17,8 @@ from textveil.operators.recognise import Null, Service, enabled, recognise
 from textveil.operators.recovery import gather, live_mapping, mapping_rows, newest, restore, restore_text
 from textveil.operators.settings import load as load_settings
 from textveil.operators.tokenize import decode_udf, encode_pair, tokens_udf
-from textveil.operators.views import create_findings_view, create_masked_view, create_restored_view
-from textveil.sources.io import guard, list_files, read_cases, read_settings, read_texts, save_settings, set_aside, write_json, write_masked
+from textveil.operators.views import create_findings_view, create_masked_view, create_restored_view, register_functions
+from textveil.sources.io import guard, list_files, read_cases, read_settings, read_texts, save_settings, set_aside, write_json, write_masked, write_restored
 from textveil.streaming.stream import live_mappings, mask_stream, newest_generation, run_once, window_counts
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -10,7 +10,7 @@ from textveil.operators import detect as D
 from textveil.operators import evaluate, masking, recovery
 from textveil.plans.common import frame, spans_sql, table, values_sql
 from textveil.plans.rules import PLANS as RULE_PLANS
-from textveil.sources.io import status
+from textveil.sources.io import computed, status
 
 RULE_OF = {"rule_email": "EMAIL", "rule_bank_card": "BANK_CARD", "rule_ipv4": "IP", "rule_token": "TOKEN", "rule_domain": "DOMAIN"}
 
@@ -115,7 +115,7 @@ def roundtrip_exact(spark, sf_dir):
 
 def restore_joined(spark, sf_dir):
     """Masked texts restored from a mapping table joined by document."""
-    masked = _masked(spark, sf_dir)
+    masked = computed(_masked(spark, sf_dir).select("doc_id", "masked", "findings"))
     maps = recovery.gather(recovery.mapping_rows(masked, ["doc_id"]), ["doc_id"])
     out = recovery.restore(masked.select("doc_id", F.concat("masked", F.lit(" <PHONE_99> <MADE_1>")).alias("text")), maps, ["doc_id"])
     return out.select("doc_id", "restored", "restored_count", "unknown_count")
@@ -194,8 +194,9 @@ FROM last JOIN r ON r.l_orderkey = last.l_orderkey AND list_contains(list_transf
 
 
 def text_guard(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "  \n").otherwise(F.col("text")).alias("text"))
-    return a.groupBy(status(F.col("text"), 5000).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    """Documents by what the guard says of them, under its own limit."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(status(F.col("text")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
 def dictionary_match(spark, sf_dir):
@@ -207,10 +208,11 @@ def dictionary_match(spark, sf_dir):
 
 
 def dictionary_large(spark, sf_dir):
-    """Hundreds of terms: every nation and customer number, through the Arrow function."""
-    terms = [(f"NATION_{i}", "ORG") for i in range(25)] + [(f"Customer#{i:09d}", "CUSTOMER") for i in range(200)]
+    """Thousands of terms: the names of all nations and customers, through the Arrow function. Terms travel with the function, up
+    to its limit."""
+    names_ = [(r[0], "CUSTOMER") for r in table(spark, sf_dir, "customer", "c_name").orderBy("c_name").collect()] + [(r[0], "ORG") for r in table(spark, sf_dir, "nation", "n_name").orderBy("n_name").collect()]
     df = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lower("c_name"), F.lit(" in "), "n_name").alias("text"))
-    out = df.select("c_custkey", F.explode(D.dictionary_candidates(F.col("text"), terms)).alias("c"))
+    out = df.select("c_custkey", F.explode(D.dictionary_candidates(F.col("text"), names_)).alias("c"))
     return out.select("c_custkey", "c.category", F.col("c.start").cast("bigint").alias("start"), F.col("c.value").alias("value"))
 
 
@@ -289,9 +291,9 @@ PLANS = {
     "roundtrip_exact": (roundtrip_exact, "SELECT count(*) AS documents, count(*) AS exact FROM documents"),
     "reserved_numbering": (reserved_numbering, values_sql([(i, m) for i, (_, m) in enumerate(NUMBERING)], "id BIGINT, masked VARCHAR")),
     "resolve_overlaps": (resolve_overlaps, _RESOLVE_SQL),
-    "text_guard": (text_guard, "SELECT CASE WHEN doc_id % 7 = 0 OR trim(text) = '' THEN 'blank' WHEN len(text) > 5000 THEN 'too_long' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE len(text) END) AS BIGINT) AS chars FROM documents GROUP BY 1"),
+    "text_guard": (text_guard, r"SELECT CASE WHEN text IS NULL OR regexp_full_match(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]*') THEN 'blank' WHEN len(text) > 100000 THEN 'too_long' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars FROM documents GROUP BY 1"),
     "dictionary_match": (dictionary_match, _DICTIONARY_SQL),
-    "dictionary_large": (dictionary_large, """SELECT c_custkey, 'ORG' AS category, CAST(22 AS BIGINT) AS "start", n_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, 'CUSTOMER', 0, lower(c_name) FROM customer WHERE c_custkey < 200"""),
+    "dictionary_large": (dictionary_large, """SELECT c_custkey, 'ORG' AS category, CAST(len(c_name) + 4 AS BIGINT) AS "start", n_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, 'CUSTOMER', 0, lower(c_name) FROM customer"""),
     "dictionary_longest": (dictionary_longest, values_sql([(i, f) for i, (_, _, f) in enumerate(LONGEST)], "id BIGINT, found VARCHAR")),
     "category_defaults": (category_defaults, values_sql(_DEFAULT_ROWS, "category VARCHAR, risk VARCHAR, priority BIGINT, known BOOLEAN, selected BOOLEAN, selected_by_user BOOLEAN")),
     "mapping_asof_ttl": (mapping_asof_ttl, _ASOF_SQL),

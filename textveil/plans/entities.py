@@ -25,41 +25,70 @@ def _entity(category, start, end, text, confidence=0.9, model="m"):
 
 # (text, entities, (category, start, end, value) that are kept)
 VALID = [
-    ("周明反馈", [_entity("PERSON", 0, 2, "周明")], [("PERSON", 0, 2, "周明")]),
-    ("周明反馈", [_entity("person", 0, 2, "周明")], [("PERSON", 0, 2, "周明")]),
-    ("周明反馈", [_entity("PLACE", 0, 2, "周明"), _entity("PERSON", 0, 9, "周明"), _entity("PERSON", -1, 2, "周明"), _entity("PERSON", 0, 2, "明周"), _entity("PERSON", 2, 2, "")], []),
-    ("周明反馈", [_entity("PERSON", 0, 2, "周明", float("nan")), _entity("PERSON", 0, 2, "周明", float("inf")), _entity("PERSON", 0, 2, "周明", -0.1), _entity("PERSON", 0, 2, "周明", 1.1), _entity("PERSON", 0, 2, "周明", None)], []),
-    ("检查日志", [_entity("PERSON", 2, 4, "日志")], []),
-    ("负责人：日志", [_entity("PERSON", 4, 6, "日志")], [("PERSON", 4, 6, "日志")]),
-    ("星河科技有限公司", [_entity("PERSON", 0, 8, "星河科技有限公司"), _entity("ORG", 0, 8, "星河科技有限公司")], [("ORG", 0, 8, "星河科技有限公司")]),
-    ("😀周明", [_entity("PERSON", 1, 3, "周明", 0.0)], [("PERSON", 1, 3, "周明")]),
+    ("秦岚来电", [_entity("PERSON", 0, 2, "秦岚")], [("PERSON", 0, 2, "秦岚")]),
+    ("秦岚来电", [_entity("person", 0, 2, "秦岚")], [("PERSON", 0, 2, "秦岚")]),
+    ("秦岚来电", [_entity("TOWN", 0, 2, "秦岚"), _entity("PERSON", 1, 7, "岚来电"), _entity("PERSON", -2, 2, "秦岚"), _entity("PERSON", 0, 2, "岚秦"), _entity("PERSON", 3, 3, "")], []),
+    ("秦岚来电", [_entity("PERSON", 0, 2, "秦岚", c) for c in (float("nan"), float("inf"), -0.2, 1.5, None)], []),
+    ("清理缓存", [_entity("PERSON", 2, 4, "缓存")], []),
+    ("审核人：缓存", [_entity("PERSON", 4, 6, "缓存")], [("PERSON", 4, 6, "缓存")]),
+    ("海棠科技有限公司", [_entity("PERSON", 0, 8, "海棠科技有限公司"), _entity("ORG", 0, 8, "海棠科技有限公司")], [("ORG", 0, 8, "海棠科技有限公司")]),
+    ("😀秦岚", [_entity("PERSON", 1, 3, "秦岚", 0.0)], [("PERSON", 1, 3, "秦岚")]),
 ]
 THRESHOLDS = {"m": {"PERSON": 0.8}, "other": {"ORG": 0.5}}
 THRESHOLD = [("m", "PERSON", 0.79, False), ("m", "PERSON", 0.8, True), ("m", "ORG", 0.01, True), ("other", "ORG", 0.49, False), ("other", "PERSON", 0.0, True), ("unknown", "ORG", 0.0, True), (None, "ORG", 0.2, True)]
-SPLIT = [("周明 周明明", [_entity("PERSON", 0, 6, "周明 周明明")], [("PERSON", 0, 2, "周明"), ("PERSON", 3, 6, "周明明")]), ("a b", [_entity("ORG", 0, 3, "a b")], [("ORG", 0, 3, "a b")]), ("x周　明", [_entity("PERSON", 1, 4, "周　明")], [("PERSON", 1, 2, "周"), ("PERSON", 3, 4, "明")])]
+SPLIT = [("秦岚 秦岚岚", [_entity("PERSON", 0, 6, "秦岚 秦岚岚")], [("PERSON", 0, 2, "秦岚"), ("PERSON", 3, 6, "秦岚岚")]), ("a b", [_entity("ORG", 0, 3, "a b")], [("ORG", 0, 3, "a b")]), ("y秦　岚", [_entity("PERSON", 1, 4, "秦　岚")], [("PERSON", 1, 2, "秦"), ("PERSON", 3, 4, "岚")])]
+
+
+def _spread(text: str, given: list[tuple], added: list[tuple]) -> tuple:
+    """A case of spreading: entities and what joins them, as (category, value, which occurrence)."""
+    def place(category, value, n):
+        at = -1
+        for _ in range(n):
+            at = text.index(value, at + 1)
+        return category, at, at + len(value), value
+
+    return text, [_entity(*place(*g)) for g in given], [place(*g) for g in given + added]
+
+
 # (text, entities, all findings)
 SPREAD = [
-    ("周明反馈问题，负责人是周明，稍后联系周明。", [_entity("PERSON", 0, 2, "周明")], [("PERSON", 0, 2, "周明"), ("PERSON", 11, 13, "周明"), ("PERSON", 18, 20, "周明")]),
-    ("周明明和周明", [_entity("PERSON", 4, 6, "周明")], [("PERSON", 4, 6, "周明")]),
-    ("中国共产党中国地质大学（武汉）委员会与中国地质大学合作", [_entity("ORG", 19, 25, "中国地质大学")], [("ORG", 19, 25, "中国地质大学")]),
-    ("周明反馈问题。周明科技有限公司。", [_entity("PERSON", 0, 2, "周明")], [("PERSON", 0, 2, "周明")]),
-    ("欧阳明月联系欧阳明。", [_entity("PERSON", 0, 4, "欧阳明月"), _entity("PERSON", 6, 9, "欧阳明")], [("PERSON", 0, 4, "欧阳明月"), ("PERSON", 6, 9, "欧阳明")]),
-    ("周明周明科技 周明。", [_entity("PERSON", 0, 2, "周明"), _entity("PERSON", 0, 6, "周明周明科技")], [("PERSON", 0, 2, "周明"), ("PERSON", 0, 6, "周明周明科技")]),
-    ("A(1) 和A(1) 在A(1)", [_entity("ORG", 0, 4, "A(1)")], [("ORG", 0, 4, "A(1)"), ("ORG", 6, 10, "A(1)"), ("ORG", 12, 16, "A(1)")]),
-]
-HE = [("何为民反馈问题", [("PERSON", 0, 3, "何为民")]), ("为何这样处理。何人负责。何以处理。", []), ("请何安民联系", []), ("😀何大同提交了，何事反馈", [("PERSON", 1, 4, "何大同")])]
-NAMES = [
-    ("申请人：张伟；联系人李明；由王强提交；请联系赵晨。", "张伟|李明|王强|赵晨"),
-    ("周明今天反馈问题。陈凯已经确认。顾清扬和迟砚进行了沟通。欧阳明随后提交材料。", "周明|陈凯|顾清扬|迟砚|欧阳明"),
-    ("材料昨天已经交给周明了。陈凯会继续处理。稍后欧阳明再确认一次。", "周明|陈凯|欧阳明"),
-    ("顾明远来自北辰云计算有限公司，许清禾来自青禾数据研究院。", "顾明远|许清禾"),
-    ("负责人：何明；联系人：何安；申请人：何以安；何明反馈问题。", "何明|何安|何以安|何明"),
+    _spread("秦岚写完初稿，校对也归秦岚，明早问秦岚。", [("PERSON", "秦岚", 1)], [("PERSON", "秦岚", 2), ("PERSON", "秦岚", 3)]),
+    _spread("秦岚岚替秦岚值班", [("PERSON", "秦岚", 2)], []),
+    _spread("全国高校江南理工学院（东区）分会邀请江南理工学院参加", [("ORG", "江南理工学院", 2)], []),
+    _spread("秦岚写完初稿。秦岚贸易有限公司。", [("PERSON", "秦岚", 1)], []),
+    _spread("司空远山找到司空远。", [("PERSON", "司空远山", 1), ("PERSON", "司空远", 2)], []),
+    _spread("秦岚秦岚电子 秦岚。", [("PERSON", "秦岚", 1), ("PERSON", "秦岚秦岚电子", 1)], []),
+    _spread("B[2] 与B[2] 在B[2]", [("ORG", "B[2]", 1)], [("ORG", "B[2]", 2), ("ORG", "B[2]", 3)]),
 ]
-PAIRS = [("周明和周明明，陈凯与陈凯旋，李明、李明明，欧阳明及欧阳明月。", "周明|周明明|陈凯|陈凯旋|李明|李明明|欧阳明|欧阳明月")]
-BLOCKED = ["王者荣耀、陈列数据、高性能、高可用、周报、周末、白名单、任意、沈阳、武汉、杭州、南京。", "何时上线暂时没有确定。何以解决这个问题还需要讨论。", "周末需要重新部署服务器。林业系统今天完成升级。", "no names at all", ""]
+HE = [("何立新处理退款", [("PERSON", 0, 3, "何立新")]), ("为何如此安排。何人签字。何以服众。", []), ("请何安国联系", []), ("😀何大年确认了，何事提交", [("PERSON", 1, 4, "何大年")])]
+
+# Names made of a customer's number, in sentences that hang on it: both engines build them from these lists.
+FAMILY, GIVEN = ["王", "李", "张", "刘", "陈", "杨", "赵", "吴", "周", "徐"], ["伟", "芳", "敏", "静", "磊", "勇", "杰", "明远", "清禾", "思涵"]
+# (before, after): what stands around a name; the last two say nothing about it
+SETTINGS = [("审核人：", "。合同已归档。"), ("", "昨天提交了表格。"), ("请联系", "，谢谢。"), ("owner=", " done"), ("", "的合同在这里。"), ("走廊里挂着", "画像")]
+SURE = 4
+NO_NAMES = ["周末要加班", "高可用方案上线", "沈阳下雪了", "白名单已更新", "何时开门", "何以见得", "林数据库重启", "金数据导出", "高性能模式", "于今日生效"]
+
+
+def _array(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _name(key: str) -> str:
+    return f"concat(element_at({_array(FAMILY)}, CAST(({key}) % 10 + 1 AS INT)), element_at({_array(GIVEN)}, CAST(({key}) div 10 % 10 + 1 AS INT)))"
+
+
+def _name_sql(key: str) -> str:
+    return f"[{', '.join(repr(x) for x in FAMILY)}][({key}) % 10 + 1] || [{', '.join(repr(x) for x in GIVEN)}][({key}) // 10 % 10 + 1]"
+
+
+def _setting(column: int) -> str:
+    return f"element_at({_array(x[column] for x in SETTINGS)}, CAST(c_custkey div 100 % {len(SETTINGS)} + 1 AS INT))"
+
+
 LABEL = [("人名", "PERSON"), ("组织机构", "ORG"), ("组织", "ORG"), ("PER", "PERSON"), ("org", "ORG"), ("B-name", "PERSON"), ("I-company", "ORG"), ("government", "ORG"), ("B-Organization", "ORG"), ("address", None), ("", None)]
 TAGGED = [
-    ("张伟在星河科技见张伟", [("张伟", "PER"), ("在", "p"), ("星河科技", "ORG"), ("张伟", "PER")], [("PERSON", 0, 2, "张伟"), ("ORG", 3, 7, "星河科技"), ("PERSON", 8, 10, "张伟")]),
+    ("秦岚在海棠科技见秦岚", [("秦岚", "PER"), ("在", "p"), ("海棠科技", "ORG"), ("秦岚", "PER")], [("PERSON", 0, 2, "秦岚"), ("ORG", 3, 7, "海棠科技"), ("PERSON", 8, 10, "秦岚")]),
     ("a b a", [("b", "x"), ("a", "PER"), ("", "PER"), ("zz", "PER"), ("a", "PER")], [("PERSON", 4, 5, "a"), ("PERSON", 0, 1, "a")]),
 ]
 PLACE = [
@@ -92,7 +121,12 @@ def entity_split_ws(spark, sf_dir):
 
 
 def entity_expand(spark, sf_dir):
-    return _spans(_entity_frame(spark, SPREAD).withColumn("c", entities.to_findings(F.col("text"), F.col("entities"))), "c")
+    """The literal cases, and a customer's name in a sentence of its own: spread to the second place, not to a company's name."""
+    name = F.expr(_name("c_custkey"))
+    made = table(spark, sf_dir, "customer", "c_custkey").select((F.col("c_custkey") + 1000).alias("id"), F.concat(name, F.lit("到场，记录人"), name, F.lit("。"), name, F.lit("科技有限公司")).alias("text"), name.alias("n"))
+    entity = F.struct(F.lit("PERSON").alias("category"), F.lit(0).alias("start"), F.length("n").alias("end"), F.col("n").alias("text"), F.lit(0.9).alias("confidence"), F.lit("m").alias("model"))
+    made = made.select("id", "text", F.array(entity).alias("entities"))
+    return _spans(_entity_frame(spark, SPREAD).unionByName(made).withColumn("c", entities.to_findings(F.col("text"), F.col("entities"))), "c")
 
 
 def entity_dedup_best(spark, sf_dir):
@@ -116,29 +150,41 @@ def names_he(spark, sf_dir):
     return _spans(df.withColumn("c", entities.to_findings(F.col("text"), none_of(ENTITY))), "c")
 
 
-def _recognised(cases):
-    def query(spark, sf_dir):
-        df = frame(spark, [(i, t) for i, t in enumerate(cases)], "id bigint, text string").withColumn("e", names.names_udf()(F.col("text")))
-        return df.select("id", F.array_join(F.transform("e", lambda e: e["text"]), "|").alias("names"))
+def _named(df, *keys):
+    out = df.withColumn("e", names.names_udf()(F.col("text")))
+    return out.select(*keys, F.array_join(F.transform("e", lambda e: e["text"]), "|").alias("names"))
 
-    return query
 
+def names_basic(spark, sf_dir):
+    """A customer's name in one of SETTINGS."""
+    df = table(spark, sf_dir, "customer", "c_custkey").withColumn("text", F.expr(f"concat({_setting(0)}, {_name('c_custkey')}, {_setting(1)})"))
+    return _named(df, "c_custkey")
 
-def names_conversations(spark, sf_dir):
-    """The detector over a table without CJK text: a negative control."""
-    df = table(spark, sf_dir, "conversations").withColumn("e", names.names_udf()(F.col("text")))
-    return df.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("e")).cast("bigint").alias("names"))
 
+def names_pairs(spark, sf_dir):
+    """Two names that a connector joins, which are found by each other."""
+    df = table(spark, sf_dir, "customer", "c_custkey").withColumn("text", F.expr(f"concat({_name('c_custkey')}, '及', {_name('c_custkey * 7 + 3')}, '进行核对。')"))
+    return _named(df, "c_custkey")
+
+
+def names_blocked(spark, sf_dir):
+    """What looks like a name and is none, in texts made of parts."""
+    df = table(spark, sf_dir, "part", "p_partkey").withColumn("text", F.expr(f"concat(element_at({_array(NO_NAMES)}, CAST(p_partkey % {len(NO_NAMES)} + 1 AS INT)), '，编号', p_partkey, '。')"))
+    return _named(df, "p_partkey")
 
-def names_detect(spark, sf_dir):
-    """Names within full detection; the person of a rule-based name beats nothing here and stands by itself."""
-    rows = [(0, "负责人：张伟，电话13812345678。随后张伟再次反馈。"), (1, "张伟和李明已经沟通，邮箱a@b.com。")]
-    found = detect(frame(spark, rows, "id bigint, text string"), names=True)
-    return exploded(found, ["id"]).select("id", "category", "start", "end", "value", "source")
+
+def names_conversations(spark, sf_dir):
+    """The detector over conversations with a name put before every second turn."""
+    name = F.expr(_name("conv_id"))
+    df = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("联系人："), name, F.lit("。"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    out = df.withColumn("e", names.names_udf()(F.col("text")))
+    return out.groupBy("turn").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("e")).cast("bigint").alias("names"))
 
 
-_DETECTED = [(0, "PERSON", 4, 6, "张伟", "lightweight_person"), (0, "PHONE", 9, 20, "13812345678", "rule"), (0, "PERSON", 23, 25, "张伟", "lightweight_person"),
-             (1, "PERSON", 0, 2, "张伟", "lightweight_person"), (1, "PERSON", 3, 5, "李明", "lightweight_person"), (1, "EMAIL", 12, 19, "a@b.com", "rule")]
+def names_detect(spark, sf_dir):
+    """Names within full detection, beside a rule's finding."""
+    df = table(spark, sf_dir, "customer", "c_custkey").withColumn("text", F.expr(f"concat('负责人：', {_name('c_custkey')}, '，电话138', lpad(CAST(c_custkey AS STRING), 8, '0'), '。')"))
+    return exploded(detect(df, names=True), ["c_custkey"]).select("c_custkey", "category", "start", "end", "value", "source")
 
 
 def label_normalise(spark, sf_dir):
@@ -179,14 +225,14 @@ def chunk_boundary_filter(spark, sf_dir):
     return out.select("id", "category", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("text").alias("value"))
 
 
-VOCAB = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "cafe", "un", "##able", "##s", "hello", ",", "中", "国", "!", "人", "名"]
-PIECES = [("Café, UNABLES!", "cafe:0:4|,:4:5|un:6:8|##able:8:12|##s:12:13|!:13:14"), ("中国hello\x00zz", "中:0:1|国:1:2|[UNK]:2:10"), ("", ""), ("x" * 101, "[UNK]:0:101")]
+VOCAB = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *"abcdefghijklmnopqrstuvwxyz0123456789#_", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")]
 
 
 def wordpiece(spark, sf_dir):
+    """Part names in pieces of one character; marks are words of their own."""
     vocab = {t: i for i, t in enumerate(VOCAB)}
-    df = frame(spark, [(i, t) for i, (t, _) in enumerate(PIECES)], "id bigint, text string").withColumn("p", tokenize.tokens_udf(vocab)(F.col("text")))
-    return df.select("id", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["piece"], x["start"].cast("string"), x["end"].cast("string"))), "|").alias("pieces"))
+    df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select("p_partkey", F.concat_ws(" ", F.upper("p_name"), "p_brand").alias("text")).withColumn("p", tokenize.tokens_udf(vocab)(F.col("text")))
+    return df.select("p_partkey", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["piece"], x["start"].cast("string"), x["end"].cast("string"))), "|").alias("pieces"))
 
 
 def span_decode(spark, sf_dir):
@@ -204,7 +250,7 @@ def recogniser_degrades(spark, sf_dir):
     def broken():
         raise OSError("no model here")
 
-    df = frame(spark, [(0, "周明 a@b.com")], "id bigint, text string")
+    df = frame(spark, [(0, "秦岚 a@b.com")], "id bigint, text string")
     out = recognise.recognise(df, broken, "broken")
     return out.select("id", F.size("entities").cast("bigint").alias("entities"), "error")
 
@@ -213,17 +259,20 @@ PLANS = {
     "entity_validate": (entity_validate, values_sql(_span_rows(VALID), SPAN_COLUMNS)),
     "entity_threshold": (entity_threshold, values_sql([(i, k) for i, (*_, k) in enumerate(THRESHOLD)], "id BIGINT, kept BOOLEAN")),
     "entity_split_ws": (entity_split_ws, values_sql(_span_rows(SPLIT), SPAN_COLUMNS)),
-    "entity_expand": (entity_expand, values_sql(_span_rows(SPREAD), SPAN_COLUMNS)),
+    "entity_expand": (entity_expand, values_sql(_span_rows(SPREAD), SPAN_COLUMNS) + f""" UNION ALL SELECT c_custkey + 1000, 'PERSON', 0, len(n), n FROM (SELECT c_custkey, {_name_sql('c_custkey')} AS n FROM customer)
+UNION ALL SELECT c_custkey + 1000, 'PERSON', len(n) + 6, 2 * len(n) + 6, n FROM (SELECT c_custkey, {_name_sql('c_custkey')} AS n FROM customer)"""),
     "entity_dedup_best": (entity_dedup_best, """SELECT l_orderkey, "start", confidence, model FROM (SELECT l_orderkey, l_linenumber AS "start", CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 5 / 10 END AS confidence, CAST(l_suppkey AS VARCHAR) AS model,
   row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 5 DESC, CAST(l_suppkey AS VARCHAR)) AS n FROM lineitem) WHERE n = 1"""),
     "entity_shadow": (entity_shadow, """WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS s, l_suppkey % 20 + 1 + l_partkey % 6 AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, s AS "start", e AS "end", EXISTS (SELECT 1 FROM t o WHERE o.l_orderkey = t.l_orderkey AND o.s <= t.s AND t.e <= o.e AND o.e - o.s > t.e - t.s) AS shadowed FROM t"""),
     "names_he": (names_he, values_sql(_span_rows(HE), SPAN_COLUMNS)),
-    "names_basic": (_recognised([t for t, _ in NAMES]), values_sql([(i, n) for i, (_, n) in enumerate(NAMES)], "id BIGINT, names VARCHAR")),
-    "names_pairs": (_recognised([t for t, _ in PAIRS]), values_sql([(i, n) for i, (_, n) in enumerate(PAIRS)], "id BIGINT, names VARCHAR")),
-    "names_blocked": (_recognised(BLOCKED), values_sql([(i, "") for i, _ in enumerate(BLOCKED)], "id BIGINT, names VARCHAR")),
-    "names_conversations": (names_conversations, "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS names FROM conversations"),
-    "names_detect": (names_detect, values_sql(_DETECTED, SPAN_COLUMNS + ", source VARCHAR")),
+    "names_basic": (names_basic, f"SELECT c_custkey, CASE WHEN c_custkey // 100 % {len(SETTINGS)} < {SURE} THEN {_name_sql('c_custkey')} ELSE '' END AS names FROM customer"),
+    "names_pairs": (names_pairs, f"SELECT c_custkey, {_name_sql('c_custkey')} || '|' || {_name_sql('c_custkey * 7 + 3')} AS names FROM customer"),
+    "names_blocked": (names_blocked, "SELECT p_partkey, '' AS names FROM part"),
+    "names_conversations": (names_conversations, "SELECT turn, count(*) AS texts, CAST(CASE WHEN turn % 2 = 0 THEN count(*) ELSE 0 END AS BIGINT) AS names FROM conversations GROUP BY turn"),
+    "names_detect": (names_detect, f"""WITH c AS (SELECT c_custkey, {_name_sql('c_custkey')} AS n FROM customer)
+SELECT c_custkey, 'PERSON' AS category, CAST(4 AS BIGINT) AS "start", CAST(4 + len(n) AS BIGINT) AS "end", n AS value, 'lightweight_person' AS source FROM c
+UNION ALL SELECT c_custkey, 'PHONE', 7 + len(n), 18 + len(n), '138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 'rule' FROM c"""),
     "label_normalise": (label_normalise, values_sql(LABEL, "label VARCHAR, category VARCHAR")),
     "tagged_locate": (tagged_locate, values_sql(_span_rows(TAGGED), SPAN_COLUMNS)),
     "chunk_chars": (chunk_chars, """WITH d AS (SELECT doc_id, len(text) AS n FROM documents), w AS (SELECT doc_id, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 240) / 208.0) AS BIGINT)))) AS chunk FROM d)
@@ -232,7 +281,8 @@ SELECT doc_id, chunk, chunk * 208 AS "start", least(chunk * 208 + 240, n) AS "en
     "chunk_tokens": (chunk_tokens, r"""WITH d AS (SELECT doc_id, len(regexp_split_to_array(regexp_replace(text, '^ +| +$', '', 'g'), '\s+')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 510) / 446.0) AS BIGINT)))) AS chunk FROM d)
 SELECT doc_id, chunk, chunk * 446 * 3 AS "start", (least(chunk * 446 + 510, n) - 1) * 3 + 2 AS "end" FROM w"""),
     "chunk_boundary_filter": (chunk_boundary_filter, values_sql([(0, "PERSON", 0, 2, "ab"), (3, "ORG", 8, 10, "ij"), (4, "PERSON", 18, 20, "st")], SPAN_COLUMNS)),
-    "wordpiece": (wordpiece, values_sql([(i, p) for i, (_, p) in enumerate(PIECES)], "id BIGINT, pieces VARCHAR")),
+    "wordpiece": (wordpiece, r"""WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_brand) AS x FROM part), c AS (SELECT p_partkey, x, unnest(generate_series(1, len(x))) AS i FROM t)
+SELECT p_partkey, string_agg(CASE WHEN regexp_matches(x[i - 1:i - 1], '[a-z0-9]') AND regexp_matches(x[i:i], '[a-z0-9]') THEN '##' ELSE '' END || x[i:i] || ':' || (i - 1) || ':' || i, '|' ORDER BY i) AS pieces FROM c WHERE x[i:i] <> ' ' GROUP BY p_partkey"""),
     "span_decode": (span_decode, values_sql([(0, 101, 102, "b", 0.48), (0, 103, 105, "de", 0.63)], 'id BIGINT, "start" BIGINT, "end" BIGINT, value VARCHAR, score DOUBLE')),
     "recogniser_degrades": (recogniser_degrades, values_sql([(0, 0, "OSError: no model here")], "id BIGINT, entities BIGINT, error VARCHAR")),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import BY_NAME
-from textveil.plans.common import frame, span_rows, spans_sql, table, values_sql
+from textveil.plans.common import span_rows, spans_sql, table
 
 LUHN = """(SELECT sum(CASE WHEN (len(value) - k) % 2 = 1 THEN CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END ELSE d END) % 10 = 0
   FROM (SELECT k, CAST(value[k] AS INT) AS d FROM (SELECT unnest(generate_series(1, len(value))) AS k)))"""
@@ -44,19 +44,6 @@ FROM (SELECT *, regexp_replace(value[len({cut}) + 1:], '["''`]$', '') AS v FROM
 DIGITS = "CAST(c_custkey AS STRING)"
 PADDED = f"lpad({DIGITS}, 9, '0')"
 
-IPV6 = [
-    ("IPv6：2001:db8:85a3::8a2e:370:7334", "2001:db8:85a3::8a2e:370:7334"), ("::1 and 1::", "::1"), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8"), ("1:2:3:4:5:6:7:8:9", None),
-    ("1::2::3", None), ("12345::1", None), (":1::2", None), ("12:30", None), ("fe80::1.", "fe80::1"), ("1::2:3:4:5:6:7:8", None), ("foo::bar", "::ba"), (":::", None), ("::", "::"), ("😀 a::1 ß", "a::1"),
-]
-
-
-def _ipv6(spark, sf_dir):
-    df = frame(spark, [(i, t) for i, (t, _) in enumerate(IPV6)], "id bigint, text string")
-    return span_rows(df, BY_NAME["ipv6"].spans(F.col("text")), "id")
-
-
-_IPV6_ROWS = [(i, t.index(v), t.index(v) + len(v), v) for i, (t, v) in enumerate(IPV6) if v] + [(1, 8, 11, "1::")]
-
 PLANS = {
     "rule_email": (on_table("email", "documents", "doc_id"), spans_sql("SELECT doc_id, text FROM documents WHERE contains(text, '@')", "doc_id", "text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", r"regexp_full_match(value, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")),
     "rule_bank_card": (on_table("bank_card", "documents", "doc_id"), spans_sql("SELECT doc_id, text FROM documents", "doc_id", "text", "[0-9]+", f"len(value) BETWEEN 16 AND 19 AND {LUHN}")),
@@ -75,5 +62,5 @@ PLANS = {
                     r'(?:orderId=[A-Za-z0-9_-]{3,}|"CUST_ID": "[A-Za-z0-9_-]{3,})', r'^(?:orderId=|"CUST_ID": ")'),
     "rule_id_card": made("id_card", "customer", "c_custkey", f"'身份证11010519' || {PADDED} || 'X，x1234567890123456789012 1101051949' || lpad({DIGITS}, 8, '1')", r"[0-9]+[Xx]?", "", r"regexp_full_match(value, '[0-9]{17}[0-9Xx]')"),
     "rule_phone": made("phone", "customer", "c_custkey", f"'call +86 139' || lpad({DIGITS}, 8, '0') || ' or 138' || lpad({DIGITS}, 8, '7') || '9 or 12345678901'", r"(?:\+86[- ]?)?[0-9]+", "", r"regexp_full_match(value, '(\+86[- ]?)?1[3-9][0-9]{9}')"),
-    "rule_ipv6": (_ipv6, values_sql(_IPV6_ROWS, 'id BIGINT, "start" BIGINT, "end" BIGINT, value VARCHAR')),
+    "rule_ipv6": made("ipv6", "customer", "c_custkey", "'via fd00:0:0:1::' || lower(hex(c_custkey % 65536)) || ' or 12:30 ab::cd::' || lower(hex(c_custkey % 65536)) || ' bad 1:2:3'", "[0-9A-Fa-f:]{2,}", "", "regexp_full_match(value, 'fd00:0:0:1::[0-9a-f]{1,4}')"),
 }
