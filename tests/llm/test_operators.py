@@ -214,6 +214,22 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2]
 
 
+def test_recall_where_the_calibrated_share_decides(spark):
+    """More vectors than the sample, in cells of a wider grid."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(300, 24))[rng.integers(0, 300, 20_000)] + rng.normal(scale=0.6, size=(20_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(df, F.col("vec_id") % 200 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    x, hit = x.astype(np.float64), 0
+    for q in range(0, 20_000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hit >= 0.9 * 20 * 100
+
+
 # --- personal data
 
 def luhn(d):

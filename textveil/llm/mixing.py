@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textveil.functions.spans import once
 from textveil.llm.common import fresh, lookup, named, small, table, written
 
 #: A source is taken at most this often.
@@ -130,7 +131,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
     plan = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     plan = written(plan.select(of(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), F.col("copies").alias(copies)), "mix-plan")
-    rows = docs.withColumn(key, of(named(id_col), named(source_col), F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long")))
+    # once: else the join's test for nulls would count the words again
+    rows = docs.withColumn(key, once(of(named(id_col), named(source_col), F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long"))))
     columns = [named(c) for c in docs.columns]
     repeat = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)
     ties = written(plan.groupBy(key).count().where("count > 1").select(key), "mix-ties")

@@ -651,7 +651,7 @@ def encoded(batches, model: bytes, back: bool = True):
 
 
 def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, round_trip): what `encode` gives, as digests; the ids as little-endian int32.
+    """(doc_id, n_pieces, piece_ids, ids_sha256, round_trip): what `encode` gives, and its digests, of the ids as little-endian int32.
 
     round_trip: the decoded text is the text. Null texts count as empty, long ones are encoded whole. Repeated rows give a row each, an
     empty table none; other columns are ignored.
@@ -668,9 +668,9 @@ def digests(docs: DataFrame, model: bytes, text_col: str = "text", id_col: str =
         for part, ids, back in encoded(batches, model):
             sha = [hashlib.sha256(np.ascontiguousarray(i, "<i4").tobytes()).hexdigest() for i in ids]
             same = [a == b for a, b in zip(part.column(1).to_pylist(), back, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "piece_ids", "ids_sha256", "round_trip"])
 
-    return src.mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+    return src.mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, ids_sha256 string, round_trip boolean")
 
 
 def model_bytes(path: str = MODEL) -> bytes:

@@ -34,6 +34,7 @@ SAMPLE_TOXIC = 3000
 SAMPLE_OTHER = 6000
 SAMPLE_CHARS = 20_000
 LEXICON = 60_000
+MOST_TRIGRAMS = 1_000_000
 CACHE = 150_000
 PREFIXES = (4, 5, 6, 7)
 CUT = 0.7
@@ -272,8 +273,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
-    """Counts of the plain words' character trigrams over all texts of docs; a word counts by the square root of its number, so that rare words shape the model too."""
+def trigrams(docs: DataFrame, text_col: str = "text", most: int = MOST_TRIGRAMS) -> Counter:
+    """Counts of the plain words' character trigrams over all texts of docs; a word counts by the square root of its number, so that rare words shape the model too.
+
+    Words are counted and grouped by tasks; the model holds the `most` most counted trigrams, which bounds what the driver gathers, and backs off beyond.
+    """
 
     @task
     def count(batches):
@@ -292,11 +296,11 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
                     found = Counter()
         yield rows({w: n for w, n in found.items() if not DRAWN.search(w)})
 
-    words = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.where(named(text_col).isNotNull()).select(named(text_col).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     s = F.concat(F.lit("\x02\x02"), "word", F.lit("\x03"))
     each = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(s, i, 3))).alias("k"), F.sqrt("n").alias("n"))
     # whole numbers: sums don't hang on the order
-    got = each.groupBy("k").agg(F.sum(F.round(F.col("n") * 1024).cast("long")).alias("n")).orderBy("k").collect()
+    got = each.groupBy("k").agg(F.sum(F.round(F.col("n") * 1024).cast("long")).alias("n")).orderBy(F.desc("n"), "k").limit(most).collect()
     return Counter({r["k"]: r["n"] / 1024 for r in got})
 
 
