@@ -48,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each result is written to the shared folder and read again."""
+    """Apply STAGES to documents; each result is written to the shared folder and read again.
+
+    Rows with null ids, texts or sources go through: a null text is not toxic, has no near duplicates and nothing to redact, counts
+    no words, and has no ids. Texts of any length are taken whole. Of repeated rows one stays; of rows that share an id only, the one
+    with the smallest text. An empty table gives an empty one. Further columns, whatever their names, pass through all
+    stages but the last, which returns (doc_id, source, piece_ids, n_pieces).
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
