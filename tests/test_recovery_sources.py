@@ -219,3 +219,12 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(RuntimeError):
         io.shared_folder(Session())
+
+
+def test_detection_is_computed_once(spark, sf_dir):
+    """What stands above detection doesn't get a copy of it: an explode's test for empty arrays would detect a second time."""
+    from textveil.operators.detect import exploded
+
+    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    copies = lambda df: df._jdf.queryExecution().executedPlan().toString().count("jdbc:")
+    assert copies(exploded(found, ["doc_id"])) == copies(found) > 0

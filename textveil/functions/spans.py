@@ -22,8 +22,8 @@ def let(value: Column, body) -> Column:
 
 def once(value: Column) -> Column:
     """value, with a condition that always holds and that the optimizer can't see through: filters and projections above
-    refer to the column instead of each getting a copy of an expensive expression."""
-    return F.when(F.rand(0) >= 0, value)
+    refer to the column instead of each getting a copy of an expensive expression. A comparison of rand() itself would be simplified away."""
+    return F.when(F.rand(0) + 1 > 0, value)
 
 
 def _blocks(rows: Column, size: int) -> Column:
